@@ -120,8 +120,10 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
 
     Null, empty and letterless texts get ``und`` with score 0, and so does every text if no
     language was learned. Ties go to the likelier single language, then the first by name.
-    Repeated rows get equal answers; other columns pass through, and no rows give no rows.
+    Repeated rows get equal answers; other columns pass through, ``lang_pred`` and ``score`` are
+    replaced, and no rows give no rows.
     """
+    docs = docs.drop("lang_pred", "score")
     source_columns(docs, text)
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.logp))
 
@@ -152,7 +154,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(rows, learned(docs)).drop("text")
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.3) -> DataFrame:
     """The documents with a language that makes up at least ``least`` of them; the columns of ``docs``."""
     bare = docs.select(F.struct(*docs.columns).alias("_row"), "text")
     told = predict(bare, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least))

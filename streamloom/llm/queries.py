@@ -5,11 +5,15 @@ from __future__ import annotations
 from .decontaminate import op3_decontamination
 from .lang_id import op9_language_id
 from .line_dedup import op5_line_dedup
+from .lm_score import op8_lm_score
+from .mixing import op7_mixing
 from .simhash_dedup import op10_simhash_dedup
 
 QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op5_line_dedup": op5_line_dedup,
+    "op7_mixing": op7_mixing,
+    "op8_lm_score": op8_lm_score,
     "op9_language_id": op9_language_id,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
