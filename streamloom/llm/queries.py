@@ -7,11 +7,17 @@ from .lang_id import op9_language_id
 from .line_dedup import op5_line_dedup
 from .lm_score import op8_lm_score
 from .mixing import op7_mixing
+from .multiset_hash import op4_fingerprints
 from .simhash_dedup import op10_simhash_dedup
+from .url_filter import op2_url_filter
+from .warc import op6_warc
 
 QUERIES = {
+    "op2_url_filter": op2_url_filter,
     "op3_decontamination": op3_decontamination,
+    "op4_fingerprints": op4_fingerprints,
     "op5_line_dedup": op5_line_dedup,
+    "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
     "op8_lm_score": op8_lm_score,
     "op9_language_id": op9_language_id,
