@@ -124,35 +124,43 @@ class Boosted:
     rates: tuple = ({}, {}, {}, {})
     prior: float = 0.5
 
-    def columns(self, urls, hosts, paths, own: np.ndarray | None = None) -> np.ndarray:
-        """Features with suffix statistics; ``own``: labels to leave out of each row's statistics while training."""
-        lex = features(urls, hosts, paths)
+    @staticmethod
+    def _count(hosts, y) -> tuple:
+        rates: tuple = ({}, {}, {}, {})
+        for h, v in zip(hosts, y):
+            for j, names in enumerate(suffixes(h)):
+                for name in names:
+                    n, bad = rates[j].get(name, (0, 0.0))
+                    rates[j][name] = (n + 1, bad + v)
+        return rates
+
+    def columns(self, urls, hosts, paths, rates: tuple | None = None) -> np.ndarray:
+        """Features and suffix statistics: the largest and smallest smoothed rate of blocks and the most counts."""
+        rates = self.rates if rates is None else rates
         stats = np.full((len(urls), 12), self.prior)
         for k, h in enumerate(hosts):
             for j, names in enumerate(suffixes(h)):
-                each = []
-                for name in names:
-                    n, bad = self.rates[j].get(name, (0, 0))
-                    if own is not None:
-                        n, bad = n - 1, bad - own[k]
-                    each.append(((bad + 4 * self.prior) / (n + 4), n))
+                each = [rates[j].get(name, (0, 0.0)) for name in names]
+                share = [(bad + 4 * self.prior) / (n + 4) for n, bad in each]
                 if each:
-                    stats[k, 3 * j : 3 * j + 3] = max(each)[0], min(each)[0], np.log1p(max(n for _, n in each))
-        return np.hstack([lex, stats])
+                    stats[k, 3 * j : 3 * j + 3] = max(share), min(share), np.log1p(max(n for n, _ in each))
+        return np.hstack([features(urls, hosts, paths), stats])
 
-    def fit(self, urls, hosts, paths, y: np.ndarray, trees: int = 60, depth: int = 4, bins: int = 32, rate: float = 0.2) -> Boosted:
+    def fit(self, urls, hosts, paths, y: np.ndarray, trees: int = 60, depth: int = 4, bins: int = 32, rate: float = 0.2, folds: int = 5) -> Boosted:
+        """Each fold's statistics come from the other folds, so that no url sees its own label."""
         y = np.asarray(y, float)
         self.prior = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
         self.start = float(np.log(self.prior / (1 - self.prior)))
         if not len(y) or y.min() == y.max():
             return self
-        self.rates = ({}, {}, {}, {})
-        for h, v in zip(hosts, y):
-            for j, names in enumerate(suffixes(h)):
-                for name in names:
-                    n, bad = self.rates[j].get(name, (0, 0.0))
-                    self.rates[j][name] = (n + 1, bad + v)
-        x = self.columns(urls, hosts, paths, own=y)
+        self.rates = self._count(hosts, y)
+        fold = np.arange(len(y)) % folds
+        x = np.zeros((len(y), 26))
+        pick = lambda values, mask: [v for v, m in zip(values, mask) if m]
+        for f in range(folds):
+            own = fold == f
+            others = self._count(pick(hosts, ~own), y[~own])
+            x[own] = self.columns(pick(urls, own), pick(hosts, own), pick(paths, own), others)
         self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins)[1:-1])) for c in x.T]
         b = self._bin(x)
         score = np.full(len(y), self.start)
