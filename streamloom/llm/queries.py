@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat_format import op1_chat_format
 from .decontaminate import op3_decontamination
 from .lang_id import op9_language_id
 from .line_dedup import op5_line_dedup
@@ -13,6 +14,7 @@ from .url_filter import op2_url_filter
 from .warc import op6_warc
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op2_url_filter": op2_url_filter,
     "op3_decontamination": op3_decontamination,
     "op4_fingerprints": op4_fingerprints,
