@@ -31,7 +31,7 @@ SMOOTH = 0.1
 #: Classes of one token each and classes by hash; together 128.
 SINGLE, HASHED = 64, 64
 #: Tokens with counts that every worker holds; rarer ones meet their counts in a join.
-FREQUENT = 262_144
+FREQUENT = 131_072
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -118,7 +118,7 @@ class LogBilinear:
         self.C = np.stack([np.eye(dim) * 0.5, np.eye(dim)]) + rng.normal(0, 0.02, (2, dim, dim))
         self.bias = np.zeros(classes)
 
-    def fit(self, grams: np.ndarray, counts: np.ndarray, steps: int = 3000, batch: int = 4096, noise: int = 64, rate: float = 0.15) -> None:
+    def fit(self, grams: np.ndarray, counts: np.ndarray, steps: int = 2000, batch: int = 4096, noise: int = 64, rate: float = 0.15) -> None:
         """Noise-contrastive estimation on trigrams drawn by count; noise is the class unigram; Adagrad."""
         n, d, rng = self.classes, self.dim, self.rng
         if not len(grams):
@@ -180,16 +180,20 @@ def score(docs: DataFrame, training: DataFrame, seed: int = 1, frequent: int = F
     n_all, n_kinds = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     steps = vocab.groupBy("c").agg(F.count("*").alias("k"))
     least = steps.select("c", F.sum("k").over(_down("c")).alias("above")).where(F.col("above") <= frequent).agg(F.min("c")).first()[0] if n_kinds > frequent else 1
-    top = vocab.where(F.col("c") >= least).select("token", "c").collect() if least is not None else []
-    top.sort(key=lambda r: (-r["c"], bytes(r["token"])))
-    listed = [bytes(r["token"]) for r in top]
-    counts = np.array([r["c"] for r in top], np.int64)
+    top = vocab.where(F.col("c") >= (least if least is not None else 1 << 62)).select("token", "c").toArrow()
+    listed, counts = top["token"].to_pylist(), top["c"].to_numpy()
+    rank = sorted(range(len(listed)), key=lambda i: (-counts[i], listed[i]))
+    listed, counts = [listed[i] for i in rank], counts[rank].astype(np.int64)
+    del top, rank
     shared = spark.sparkContext.broadcast((listed, counts))
     lexicon_of = lambda: Lexicon(*shared.value)
     classes = SINGLE + HASHED
-    tri = class_trigrams(training, lexicon_of, classes).toPandas().sort_values("gram")
+    tri = class_trigrams(training, lexicon_of, classes).toArrow()
+    grams, sums = tri["gram"].to_numpy(), tri["c"].to_numpy()
+    rank = np.argsort(grams)
     model = LogBilinear(classes, seed=seed)
-    model.fit(tri["gram"].to_numpy(np.int64), tri["c"].to_numpy(np.float64))
+    model.fit(grams[rank].astype(np.int64), sums[rank].astype(np.float64))
+    del tri, grams, sums, rank
     mass = _class_mass(vocab, listed[:SINGLE])
     params = spark.sparkContext.broadcast((model.R, model.Q, model.C, model.bias, np.log10(mass)))
     keep = [c for c in docs.columns if c != "text"]
