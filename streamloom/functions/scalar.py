@@ -176,11 +176,15 @@ def pad_front(c: Column, ch: str, size: int) -> Column:
     return F.when(F.length(c) <= size, F.lpad(c, size, ch))
 
 
+def _decimal(c: Column, pattern: str) -> Column:
+    return F.call_function("format_number", c, F.lit(pattern))
+
+
 def human_size(c: Column) -> Column:
     """One decimal and k, m or g; smaller numbers as they are."""
     out = c.cast("string")
     for unit, name in ((1 << 10, "k"), (1 << 20, "m"), (1 << 30, "g")):
-        out = F.when(F.abs(c) >= unit, F.concat(F.format_number(c / unit, "0.0"), F.lit(name))).otherwise(out)
+        out = F.when(F.abs(c) >= unit, F.concat(_decimal(c / unit, "0.0"), F.lit(name))).otherwise(out)
     return out
 
 
@@ -188,14 +192,14 @@ def byte_size(c: Column) -> Column:
     """Up to two decimals and B to PB."""
     out = F.concat(c.cast("string"), F.lit("B"))
     for i, name in enumerate(("KB", "MB", "GB", "TB", "PB"), 1):
-        out = F.when(c >= 1 << (10 * i), F.concat(F.format_number(c / (1 << (10 * i)), "0.##"), F.lit(name))).otherwise(out)
+        out = F.when(c >= 1 << (10 * i), F.concat(_decimal(c / (1 << (10 * i)), "0.##"), F.lit(name))).otherwise(out)
     return out
 
 
 def percent(c: Column, digits: int = 2) -> Column:
     """A share as a percentage, rounded down."""
     scale = 10**digits
-    return F.concat(F.format_number(F.floor(c * 100 * scale) / scale, "0." + "0" * digits), F.lit("%"))
+    return F.concat(_decimal(F.floor(c * 100 * scale) / scale, "0." + "0" * digits), F.lit("%"))
 
 
 def simple_host(c: Column) -> Column:
