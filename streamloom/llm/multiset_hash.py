@@ -122,7 +122,7 @@ def _runs(docs: DataFrame, goal: int) -> DataFrame:
     return docs.withColumn("run", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(len(cuts) - spread).cast("long"))
 
 
-def with_next(docs: DataFrame, goal: int = 20_000) -> DataFrame:
+def with_next(docs: DataFrame, goal: int = 5_000) -> DataFrame:
     """Sorted runs of documents for ``neighbours``: each run is followed by a copy of the next one's first row.
 
     The order is by descending id, then text hash; after the last comes the first.
