@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import sys
 import uuid
 
@@ -75,6 +76,7 @@ def release(*dfs: DataFrame) -> None:
 
 def tidy(spark: SparkSession) -> None:
     """Shuffle files go once the driver's garbage that names them is collected."""
+    gc.collect()
     spark._jvm.System.gc()
 
 
