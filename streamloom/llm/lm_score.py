@@ -166,7 +166,7 @@ class LogBilinear:
         return out
 
 
-def score(docs: DataFrame, training: DataFrame, seed: int = 1, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, seed: int = 1, frequent: int = FREQUENT, steps: int = 2000) -> DataFrame:
     """``docs`` less ``text`` with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
     Scores are log10 probabilities of whole texts, ends included: ``base_score`` by smoothed token
@@ -178,8 +178,8 @@ def score(docs: DataFrame, training: DataFrame, seed: int = 1, frequent: int = F
     spark = docs.sparkSession
     vocab = materialize(count_tokens(training), "lm-vocabulary")
     n_all, n_kinds = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    steps = vocab.groupBy("c").agg(F.count("*").alias("k"))
-    least = steps.select("c", F.sum("k").over(_down("c")).alias("above")).where(F.col("above") <= frequent).agg(F.min("c")).first()[0] if n_kinds > frequent else 1
+    levels = vocab.groupBy("c").agg(F.count("*").alias("k"))
+    least = levels.select("c", F.sum("k").over(_down("c")).alias("above")).where(F.col("above") <= frequent).agg(F.min("c")).first()[0] if n_kinds > frequent else 1
     top = vocab.where(F.col("c") >= (least if least is not None else 1 << 62)).select("token", "c").toArrow()
     listed, counts = top["token"].to_pylist(), top["c"].to_numpy()
     rank = sorted(range(len(listed)), key=lambda i: (-counts[i], listed[i]))
@@ -192,7 +192,7 @@ def score(docs: DataFrame, training: DataFrame, seed: int = 1, frequent: int = F
     grams, sums = tri["gram"].to_numpy(), tri["c"].to_numpy()
     rank = np.argsort(grams)
     model = LogBilinear(classes, seed=seed)
-    model.fit(grams[rank].astype(np.int64), sums[rank].astype(np.float64))
+    model.fit(grams[rank].astype(np.int64), sums[rank].astype(np.float64), steps)
     del tri, grams, sums, rank
     mass = _class_mass(vocab, listed[:SINGLE])
     params = spark.sparkContext.broadcast((model.R, model.Q, model.C, model.bias, np.log10(mass)))
