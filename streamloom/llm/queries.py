@@ -26,4 +26,15 @@ QUERIES = {
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The archives' result follows from the pages; base32 is spelled out from the bits of the digest.
+OP6_SQL = """with p as (select page_id, coalesce(html, '') as html from pages),
+d as (select page_id, strlen(html) as n, min(page_id) over (partition by html) as first, array_to_string(list_transform(range(1, 41),
+  lambda i: ['0000','0001','0010','0011','0100','0101','0110','0111','1000','1001','1010','1011','1100','1101','1110','1111']
+  [strpos('0123456789abcdef', substr(sha1(html), i, 1))]), '') as bits from p)
+select page_id, cast(n as bigint) as payload_bytes, array_to_string(list_transform(range(0, 32), lambda j:
+  substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * cast(bits[5*j+1] as int) + 8 * cast(bits[5*j+2] as int)
+  + 4 * cast(bits[5*j+3] as int) + 2 * cast(bits[5*j+4] as int) + cast(bits[5*j+5] as int), 1)), '') as payload_digest,
+  case when page_id is not distinct from first then 'response' else 'revisit' end as record_type,
+  case when page_id is distinct from first then first end as refers_to from d"""
+
+ORACLE_SQL: dict[str, str] = {"op6_warc": OP6_SQL}
