@@ -151,9 +151,9 @@ def viterbi(positions: DataFrame, states: int, block: int = BLOCK) -> DataFrame:
                 best = _max_plus(best, m[:states])
             out.append((g["conv"].iloc[0], g["block"].iloc[0], best.ravel()))
             if len(out) == 5000:
-                yield pd.DataFrame(out, columns=["conv", "k", "m"]).astype({"conv": "Int64"})
+                yield pd.DataFrame(out, columns=["conv", "k", "m"])
                 out = []
-        yield pd.DataFrame(out, columns=["conv", "k", "m"]).astype({"conv": "Int64"})
+        yield pd.DataFrame(out, columns=["conv", "k", "m"])
 
     def down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in _groups(batches, ["conv", "block"]):
@@ -168,14 +168,15 @@ def viterbi(positions: DataFrame, states: int, block: int = BLOCK) -> DataFrame:
                 path.append(int(b[path[-1]]))
             path.reverse()
             ahead = [int(g["before"].iloc[0]), *path[:-1]]
-            yield pd.DataFrame({"conv": g["conv"].astype("Int64"), "k": g["k"], "before": ahead, "state": path})
+            yield pd.DataFrame({"conv": g["conv"], "k": g["k"], "before": ahead, "state": path})
 
-    levels = [positions]
+    # conversations travel as text: pandas would round large ids beside nulls
+    levels = [positions.withColumn("conv", F.col("conv").cast("string"))]
     convs = positions.select("conv").distinct().count()
     while True:
         rows = levels[-1].withColumn("block", F.floor(F.col("k") / block).cast("long"))
         whole = rows.repartition("conv", "block").sortWithinPartitions("conv", "block", "k")
-        levels.append(materialize(whole.mapInPandas(up, "conv long, k long, m array<double>"), "viterbi-up"))
+        levels.append(materialize(whole.mapInPandas(up, "conv string, k long, m array<double>"), "viterbi-up"))
         if levels[-1].count() <= convs:
             break
     first = F.slice("m", states * states + 1, states)
@@ -187,8 +188,8 @@ def viterbi(positions: DataFrame, states: int, block: int = BLOCK) -> DataFrame:
         ends = found.select(F.col("conv").alias("_c"), F.col("k").alias("_b"), "before", "state")
         both = rows.join(ends, [rows["conv"].eqNullSafe(F.col("_c")), rows["block"] == F.col("_b")]).drop("_c", "_b")
         both = both.repartition("conv", "block").sortWithinPartitions("conv", "block", "k")
-        found = materialize(both.mapInPandas(down, "conv long, k long, before int, state int"), "viterbi-down")
-    return found.select("conv", "k", "state")
+        found = materialize(both.mapInPandas(down, "conv string, k long, before int, state int"), "viterbi-down")
+    return found.select(F.col("conv").cast(positions.schema["conv"].dataType).alias("conv"), "k", "state")
 
 
 def recover_roles(turns: DataFrame, model: Hmm, block: int = BLOCK) -> DataFrame:

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -199,7 +200,7 @@ def score(docs: DataFrame, training: DataFrame, seed: int = 1, frequent: int = F
     keep = [c for c in docs.columns if c != "text"]
     base_norm = float(np.log10(n_all + SMOOTH * (n_kinds + 1)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = lexicon_of()
         net = LogBilinear(classes)
         net.R, net.Q, net.C, net.bias, log_mass = params.value
@@ -207,9 +208,9 @@ def score(docs: DataFrame, training: DataFrame, seed: int = 1, frequent: int = F
         end = int(lex.cls[lex.at[END]]) if END in lex.at else hashed_class(END)
         uid = TaskContext.get().partitionId() << 33
         digest = xxhash.xxh64_intdigest
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for text in pdf["text"]:
+            for text in batch.column("text").to_pylist():
                 words = tokens(text)
                 at = lex.places(words)
                 c = np.concatenate([[end, end], lex.classes(words, at)])
@@ -219,14 +220,13 @@ def score(docs: DataFrame, training: DataFrame, seed: int = 1, frequent: int = F
                 hashes = np.array([digest(words[i], 42) for i in rare], np.uint64).view(np.int64)
                 rows.append((uid, len(words), len(words) - len(rare), listed_logs, fixed, hashes))
                 uid += 1
-            out = pdf[keep].copy()
-            for i, name in enumerate(("_uid", "_n", "_known", "_logs", "_fixed", "_rare")):
-                out[name] = [r[i] for r in rows]
-            yield out
+            kinds = {"_uid": pa.int64(), "_n": pa.int64(), "_known": pa.int64(), "_logs": pa.float64(), "_fixed": pa.float64(), "_rare": pa.list_(pa.int64())}
+            made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *made], names=[*keep, *kinds])
 
     named = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     extra = "_uid long, _n long, _known long, _logs double, _fixed double, _rare array<long>"
-    parts = materialize(docs.mapInPandas(run, f"{named}, {extra}" if named else extra), "lm-parts")
+    parts = materialize(docs.mapInArrow(run, f"{named}, {extra}" if named else extra), "lm-parts")
     rare = parts.select("_uid", F.explode("_rare").alias("hash"))
     found = rare.join(vocab.where(F.col("c") < least).select("hash", "c") if least is not None else vocab.select("hash", "c"), "hash", "left")
     logs = F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(SMOOTH))

@@ -118,8 +118,13 @@ def _runs(docs: DataFrame, goal: int) -> DataFrame:
     cuts = sorted({int(c) for c in cuts})
     if not cuts:
         return docs.withColumn("run", F.when(F.col("doc_id").isNull(), 1).otherwise(0).cast("long"))
-    spread = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("doc_id")))
-    return docs.withColumn("run", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(len(cuts) - spread).cast("long"))
+    bounds = np.array(cuts, np.int64)
+
+    def place(ids: pd.Series) -> pd.Series:
+        return pd.Series(len(bounds) - np.searchsorted(bounds, ids.to_numpy(np.int64), side="right"))
+
+    run = F.pandas_udf(place, "long")(F.coalesce("doc_id", F.lit(0).cast("long")))
+    return docs.withColumn("run", F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(run).cast("long"))
 
 
 def with_next(docs: DataFrame, goal: int = 5_000) -> DataFrame:
@@ -167,14 +172,16 @@ def neighbours(docs: DataFrame) -> DataFrame:
             out = []
             for number, i, text, halo in zip(pdf["run"], pdf["doc_id"], pdf["text"], pdf["halo"]):
                 text = text or ""
-                now = (None if pd.isna(i) else int(i), text, Fingerprint.of(text))
+                now = (None if i is None else int(i), text, Fingerprint.of(text))
                 if last is not None and last[0] == number:
                     out.append(row(last[1], now))
                 last = None if halo else (number, now)
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
+            made = pd.DataFrame(out, columns=names)
+            yield made.assign(doc_id=pd.array([r[0] for r in out], "Int64"))
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs).mapInPandas(run, schema)
+    # ids travel as text: pandas would round large ones beside nulls
+    return with_next(docs).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, schema)
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,14 +41,13 @@ def add_fingerprints(df: DataFrame, text: str = "text", width: int = WIDTH, seed
     """The columns of ``df`` but for ``text``, and ``_fp``: the fingerprint as a signed long."""
     keep = [c for c in df.columns if c != text]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf[keep].copy()
-            out["_fp"] = np.array([fingerprint(t, width, seed) for t in pdf[text]], np.uint64).view(np.int64)
-            yield out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.array([fingerprint(t, width, seed) for t in batch.column(text).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(fps)], names=[*keep, "_fp"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != text), "_fp long"])
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, pairwise: int = PAIRWISE) -> DataFrame:

@@ -132,13 +132,15 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     least = rows.groupBy(sha.alias("_sha")).agg(F.min("page_id").alias("first"))
     least = materialize(least, "warc-first")
     joined = rows.withColumn("_sha", sha).join(least, "_sha").drop("_sha")
+    # ids travel as text: pandas would round large ones beside nulls
+    joined = joined.withColumns({c: F.col(c).cast("string") for c in ("page_id", "first")})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = 0
         for pdf in batches:
             out = []
             for i, url, html, first in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["first"]):
-                i, first = (None if pd.isna(x) else int(x) for x in (i, first))
+                i, first = (None if x is None else int(x) for x in (i, first))
                 rid = str(uuid.uuid5(uuid.NAMESPACE_URL, f"page:{i}/{TaskContext.get().partitionId()}/{number}"))
                 number += 1
                 page = {"page_id": i, "url": url, "refers_to": first}
@@ -195,7 +197,8 @@ _SCHEMA = "page_id long, url string, record_type string, refers_to long, payload
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     names = [c.split()[0] for c in _SCHEMA.split(", ")]
-    return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "Int64"})
+    whole = {n: pd.array([r[k] for r in rows], "Int64") for k, n in enumerate(names) if n in ("page_id", "refers_to", "payload_bytes")}
+    return pd.DataFrame(rows, columns=names).assign(**whole)
 
 
 def _row(meta: str, block: bytes) -> tuple:

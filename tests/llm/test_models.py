@@ -45,7 +45,7 @@ def test_viterbi_in_blocks(spark, block):
     rng = np.random.default_rng(block)
     start, step = rng.normal(size=3), rng.normal(size=(3, 3))
     rows, want = [], {}
-    for conv, n in ((1, 1), (2, 23), (3, 7), (None, 5)):
+    for conv, n in ((1, 1), (2, 23), (2**60 + 1, 7), (None, 5)):
         emits = rng.normal(size=(n, 3))
         for k, (e, s) in enumerate(zip(emits, plain_viterbi(start, step, emits))):
             rows.append((conv, k, [*(step + e).ravel().tolist(), *(start + e).tolist()]))
@@ -166,17 +166,17 @@ def test_fingerprint_query(spark, sf):
 
 @pytest.mark.parametrize("goal", [1, 3, 1000])
 def test_fingerprint_order_and_edges(spark, goal, monkeypatch):
-    rows = [(5, "a" * 9), (5, "b" * 9), (3, None), (9, ""), (7, "c😀d"), (1, "xyz" * 20_000), (None, "nul")]
+    rows = [(5, "a" * 9), (5, "b" * 9), (3, None), (9, ""), (7, "c😀d"), (1, "xyz" * 20_000), (None, "nul"), (-(2**60) - 1, "low")]
     df = spark.createDataFrame([(*r, "extra") for r in rows], "doc_id long, text string, run string")
     plain = multiset_hash.with_next
     monkeypatch.setattr(multiset_hash, "with_next", lambda d: plain(d, goal))
     got = multiset_hash.neighbours(df).collect()
-    assert sorted((r.doc_id or 0) for r in got) == [0, 1, 3, 5, 5, 7, 9]
+    assert sorted((r.doc_id or 0) for r in got) == [-(2**60) - 1, 0, 1, 3, 5, 5, 7, 9]
     by = {r.doc_id: r.edited_sha256 for r in got}
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    assert by[1] == sha("xyz" * 20_000)[:0] + sha(("xyz" * 20_000)[:40_000] + "nul")
+    assert by[1] == sha(("xyz" * 20_000)[:40_000] + "low")
     assert by[None] == sha("nu") and by[9] == sha("") and by[3] == sha("")
-    assert multiset_hash.neighbours(df.where("doc_id < 0")).count() == 0
+    assert multiset_hash.neighbours(df.where("doc_id > 99")).count() == 0
     only = multiset_hash.neighbours(df.where("doc_id = 7")).first()
     assert only.near_next == 1.0 and only.edited_sha256 == sha("c😀c")
 
@@ -197,7 +197,7 @@ def test_chunks_and_cuts(text, size):
 
 
 def test_archive_round_trip(spark, tmp_path):
-    rows = [(1, "http://a/", "x" * 5000), (2, "http://b/ü%\n", "x" * 5000), (3, None, None), (4, "u", ""), (0, "z", "ä😀\r\n\r\n" * 900), (None, "n", "only"), (None, "n", "x" * 5000), (2, "http://b/", "x" * 5000)]
+    rows = [(1, "http://a/", "x" * 5000), (2, "http://b/ü%\n", "x" * 5000), (3, None, None), (4, "u", ""), (0, "z", "ä😀\r\n\r\n" * 900), (None, "n", "only"), (2**60 + 1, "big", "own"), (None, "n", "x" * 5000), (2, "http://b/", "x" * 5000)]
     df = spark.createDataFrame([(*r, "more") for r in rows], "page_id long, url string, html string, payload string")
     warc.write(df, str(tmp_path / "w"), segment=512)
     found = warc.read(spark, str(tmp_path / "w")).collect()
@@ -321,11 +321,11 @@ def test_model_is_normalised(spark):
 
 
 def test_scores_edges(spark):
-    docs = spark.createDataFrame([(1, None, 1), (2, "", 2), (None, "new words", 3), (4, "w " * 100_000, 4), (4, "w " * 100_000, 4)], "doc_id long, text string, n_tokens_x long")
+    docs = spark.createDataFrame([(1, None, 1), (2, "", 2), (2**60 + 1, "new words", 3), (None, "new words", 3), (4, "w " * 100_000, 4), (4, "w " * 100_000, 4)], "doc_id long, text string, n_tokens_x long")
     out = lm_score.score(docs, docs.where("doc_id = 1").select("text"), steps=20).collect()
-    assert sorted((r.doc_id or 0, r.n_tokens) for r in out) == [(0, 3), (1, 1), (2, 1), (4, 100_001), (4, 100_001)]
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in out) == [(0, 3), (1, 1), (2, 1), (4, 100_001), (4, 100_001), (2**60 + 1, 3)]
     assert all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in out)
-    none = docs.where("doc_id > 99")
+    none = docs.where("doc_id < 0")
     assert lm_score.score(none, docs.select("text"), steps=20).count() == 0
     assert all(math.isfinite(r.score) for r in lm_score.score(docs, none.select("text"), steps=20).collect())
 
