@@ -119,7 +119,7 @@ class LogBilinear:
         self.C = np.stack([np.eye(dim) * 0.5, np.eye(dim)]) + rng.normal(0, 0.02, (2, dim, dim))
         self.bias = np.zeros(classes)
 
-    def fit(self, grams: np.ndarray, counts: np.ndarray, steps: int = 2000, batch: int = 4096, noise: int = 64, rate: float = 0.15) -> None:
+    def fit(self, grams: np.ndarray, counts: np.ndarray, steps: int = 1500, batch: int = 2048, noise: int = 64, rate: float = 0.15) -> None:
         """Noise-contrastive estimation on trigrams drawn by count; noise is the class unigram; Adagrad."""
         n, d, rng = self.classes, self.dim, self.rng
         if not len(grams):
@@ -167,7 +167,7 @@ class LogBilinear:
         return out
 
 
-def score(docs: DataFrame, training: DataFrame, seed: int = 1, frequent: int = FREQUENT, steps: int = 2000) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, seed: int = 1, frequent: int = FREQUENT, steps: int = 1500) -> DataFrame:
     """``docs`` less ``text`` with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
     Scores are log10 probabilities of whole texts, ends included: ``base_score`` by smoothed token
