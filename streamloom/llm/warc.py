@@ -11,6 +11,7 @@ by number, verifies the total length and decodes the chunks.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -21,10 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, source_columns, table
+from .common import materialize, release, shared_dir, source_columns, table
 
 #: Bytes of a record's block before it is split, bytes of a chunk, records a file holds at most.
 SEGMENT, CHUNK, FILE_RECORDS = 32_768, 4096, 1000
+#: Bytes of records that a worker holds before it passes them on.
+SLICE = 4 << 20
 CRLF = "\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -124,7 +127,8 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     """One record for each row of ``pages`` (``page_id``, ``url``, ``html``) into gzipped archives at ``path``.
 
     Of rows with equal payloads those with the smallest ``page_id`` are responses, the others revisits
-    of it; null ids are larger than all and a null ``html`` is an empty payload.
+    of it; null ids are larger than all and a null ``html`` is an empty payload. Repeated rows are
+    records of their own, other columns are left out, and no rows give archives without records.
     """
     source_columns(pages, "page_id", "url", "html")
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
@@ -138,17 +142,24 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = 0
         for pdf in batches:
-            out = []
+            out, size = [], 0
             for i, url, html, first in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["first"]):
                 i, first = (None if x is None else int(x) for x in (i, first))
                 rid = str(uuid.uuid5(uuid.NAMESPACE_URL, f"page:{i}/{TaskContext.get().partitionId()}/{number}"))
                 number += 1
                 page = {"page_id": i, "url": url, "refers_to": first}
                 out += records(rid, "response" if i == first else "revisit", page, html.encode("utf-8"), segment)
+                size += len(html)
+                if size > SLICE:
+                    yield pd.DataFrame({"value": out})
+                    out, size = [], 0
             yield pd.DataFrame({"value": out})
 
     archive = joined.mapInPandas(run, "value string")
-    archive.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    writer = archive.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS)
+    writer.text(path)
+    del archive, joined, writer
+    release(least)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -156,29 +167,41 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     ``payload`` is null for a revisit, whose length and digest the record states; for a response
     both come from the payload, and a digest or a length that differs from the stated one is an error, as is
-    a missing segment. Only records in segments are shuffled, one group for each.
+    a missing segment. Only records in segments are shuffled, one group for each; the archives are parsed
+    once for them and once for the others, so that no parsed copy is stored.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import gzip
-
+    def parsed(batches: Iterator[pd.DataFrame], segments: bool) -> Iterator[list[tuple]]:
+        """Records with or without a segment number, a few megabytes at a time."""
+        found, size = [], 0
         for pdf in batches:
             for content in pdf["content"]:
-                found = []
                 for head, block in parse(gzip.decompress(content)):
-                    origin = head.get("warc-segment-origin-id", head["warc-record-id"])
-                    number, total = head.get("warc-segment-number"), head.get("warc-segment-total-length")
+                    number, total = int(head.get("warc-segment-number", 0)), head.get("warc-segment-total-length")
+                    if segments != (number > 0):
+                        continue
                     meta = "\n".join(f"{k}: {v}" for k, v in head.items() if k in _KEPT)
-                    found.append((origin, int(number or 0), int(total) if total else None, meta, block))
-                yield pd.DataFrame(found, columns=["origin", "number", "total", "meta", "block"]).astype({"total": "Int64"})
-
-    parts = files.mapInPandas(split, "origin string, number int, total long, meta string, block binary")
-    parts = materialize(parts, "warc-parts")
+                    if segments:
+                        origin = head.get("warc-segment-origin-id", head["warc-record-id"])
+                        found.append((origin, number, int(total) if total else None, meta, block))
+                    else:
+                        found.append(_row(meta, block))
+                    size += len(block)
+                    if size > SLICE:
+                        yield found
+                        found, size = [], 0
+        yield found
 
     def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield _frame([_row(m, bytes(b)) for m, b in zip(pdf["meta"], pdf["block"])])
+        yield from map(_frame, parsed(batches, False))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for found in parsed(batches, True):
+            yield pd.DataFrame(found, columns=["origin", "number", "total", "meta", "block"]).astype({"total": "Int64"})
+
+    whole = files.mapInPandas(alone, _SCHEMA)
+    parts = files.mapInPandas(split, "origin string, number int, total long, meta string, block binary")
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("number")
@@ -187,8 +210,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             raise ValueError(f"record {pdf['origin'].iloc[0]} is not whole")
         return _frame([_row(pdf["meta"].iloc[0], block)])
 
-    whole = parts.where("number = 0").mapInPandas(alone, _SCHEMA)
-    return whole.unionByName(parts.where("number > 0").groupBy("origin").applyInPandas(joined, _SCHEMA))
+    return whole.unionByName(parts.groupBy("origin").applyInPandas(joined, _SCHEMA))
 
 
 _KEPT = ("warc-type", "warc-target-uri", "warc-page-id", "warc-payload-digest", "warc-refers-to-page")

@@ -212,7 +212,8 @@ def test_archive_round_trip(spark, tmp_path):
         own = first[h or ""] == i
         want[i, u, "response" if own else "revisit", None if own else first[h or ""], len(raw), digest, raw if own else None] += 1
     assert Counter((r.page_id, r.url, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest, None if r.payload is None else bytes(r.payload)) for r in found) == want
-    warc.write(df.where("page_id > 99"), str(tmp_path / "none"))
+    warc.write(df.where("page_id < 0"), str(tmp_path / "none"))
+    assert warc.read(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_archive_query(spark, sf):
