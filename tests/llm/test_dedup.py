@@ -158,6 +158,20 @@ def test_fuzzy_lines_and_edges(spark):
     assert sorted(r.text for r in line_dedup.dedup_lines(nulls).collect()) == ["", "a line of text"]
 
 
+def test_short_lines_and_lines_of_long_tokens(spark):
+    rng = random.Random(8)
+    token = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    rows = [(1, "terms of use"), (2, "terms of use."), (3, "all rights reserved"), (4, "all rights reserved 1"), (5, "-" * 9), (6, "-" * 90)]
+    for i in range(10, 210, 2):
+        base = token(rng.randint(8, 400)) if i % 4 else " ".join(token(rng.randint(1, 9)) for _ in range(rng.randint(2, 8)))
+        at = rng.choice([0, len(base) // 2, len(base)])
+        rows += [(i, base), (i + 1, base[:at] + "#" + base[at:])]
+    df = docs_of(spark, *rows)
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()}
+    assert got == brute_lines(rows)
+    assert got[2] == "" and got[6] == "" and sum(t == "" for t in got.values()) > 60
+
+
 def test_bit_maps_never_rule_out_similar_lines(spark):
     rng = random.Random(2)
     lines = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(1, 300))).strip() or "x" for _ in range(30)]
