@@ -7,9 +7,10 @@ The vector has two parts:
 
 - 16 counters modulo 2^64, to all of which every paragraph adds: equal multisets have equal sums,
   and others differ but for a chance of 2^-1024;
-- 4 tiers of 32 counters modulo 2^16, where a paragraph adds to one counter of each tier it belongs
-  to: all to the first, a quarter, a sixteenth, a sixty-fourth to the next. Where two documents
-  share paragraphs, counters agree, so the share of counters that agree tells how alike they are.
+- 12 tiers of 32 counters modulo 2^16, where a paragraph adds to one counter of each tier it belongs
+  to: all to the first, a quarter, a sixteenth and so on to the next, one of 4^11 to the last, which
+  holds few paragraphs of the longest text. Where two documents share paragraphs, counters agree, so
+  the share of counters that agree tells how alike they are.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import source_columns, table
 
-WIDE, TIERS, LANES = 16, 4, 32
+WIDE, TIERS, LANES = 16, 12, 32
+#: Tiers that are always written; of the others those up to the last one that holds a paragraph.
+WRITTEN = 4
 _PIECE = re.compile(r".{24,72}?(?:[。！？、，]|(?<=[.!?,;:|])(?= ))|.{48,}?(?= )|.+")
 
 
@@ -37,16 +40,19 @@ def paragraphs(text: str | None) -> list[str]:
 
 def _vectors(parts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
     """Sums of the wide and of the narrow vectors of ``parts``."""
-    digests = [hashlib.shake_128(p.encode("utf-8", "surrogatepass")).digest(WIDE * 8 + 16) for p in parts]
+    digests = [hashlib.shake_128(p.encode("utf-8", "surrogatepass")).digest(WIDE * 8 + 24) for p in parts]
     wide, narrow = np.zeros(WIDE, np.uint64), np.zeros(TIERS * LANES, np.uint16)
     if digests:
-        words = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, WIDE + 2)
+        words = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, WIDE + 3)
         with np.errstate(over="ignore"):
             wide = words[:, :WIDE].sum(0, dtype=np.uint64)
-            level, where = words[:, WIDE], words[:, WIDE + 1]
+            level = words[:, WIDE]
             for t in range(TIERS):
                 own = (level >> np.uint64(32)) & np.uint64((1 << (2 * t)) - 1) == 0
-                lane = ((where[own] >> np.uint64(8 * t)) & np.uint64(LANES - 1)).astype(np.int64) + t * LANES
+                if not own.any():
+                    break  # a tier's paragraphs belong to all tiers before
+                where = words[own, WIDE + 1 + t // 8]
+                lane = ((where >> np.uint64(8 * (t % 8))) & np.uint64(LANES - 1)).astype(np.int64) + t * LANES
                 np.add.at(narrow, lane, (level[own] & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1))
     return wide, narrow
 
@@ -65,7 +71,10 @@ class Fingerprint:
     @classmethod
     def parse(cls, hexed: str) -> Fingerprint:
         raw = bytes.fromhex(hexed)
-        return cls(np.frombuffer(raw[: 8 * WIDE], "<u8").copy(), np.frombuffer(raw[8 * WIDE :], "<u2").copy())
+        narrow = np.zeros(TIERS * LANES, np.uint16)
+        written = np.frombuffer(raw[8 * WIDE :], "<u2")
+        narrow[: len(written)] = written
+        return cls(np.frombuffer(raw[: 8 * WIDE], "<u8").copy(), narrow)
 
     def __add__(self, other: Fingerprint) -> Fingerprint:
         with np.errstate(over="ignore"):
@@ -81,7 +90,8 @@ class Fingerprint:
     __hash__ = None
 
     def hex(self) -> str:
-        return struct.pack(f"<{WIDE}Q", *self.wide.tolist()).hex() + struct.pack(f"<{TIERS * LANES}H", *self.narrow.tolist()).hex()
+        tiers = max(WRITTEN, int(self.narrow.nonzero()[0].max(initial=0)) // LANES + 1)
+        return struct.pack(f"<{WIDE}Q", *self.wide.tolist()).hex() + struct.pack(f"<{tiers * LANES}H", *self.narrow[: tiers * LANES].tolist()).hex()
 
 
 def likeness(a: Fingerprint, b: Fingerprint) -> float:

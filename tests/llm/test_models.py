@@ -164,6 +164,21 @@ def test_fingerprint_query(spark, sf):
     assert sum(x > 0.15 for x in near_edited) / len(near_edited) > 0.95
 
 
+def test_likeness_of_texts_of_many_megabytes():
+    rng = random.Random(9)
+    line = lambda: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(7))
+    of, near = multiset_hash.Fingerprint.of, multiset_hash.likeness
+    for size in (15_000, 60_000, 120_000):
+        doc, after = ("\n".join(line() for _ in range(size)) for _ in range(2))
+        third = len(doc) // 3
+        whole = of(doc)
+        edited = of(doc[: len(doc) - third] + after[:third])
+        assert multiset_hash.Fingerprint.parse(edited.hex()) == edited
+        assert 0.25 < near(whole, edited) < 0.75
+        assert 0.4 < near(whole, of(doc[: len(doc) - third])) < 0.9
+        assert near(whole, of(after)) == 0.0
+
+
 @pytest.mark.parametrize("goal", [1, 3, 1000])
 def test_fingerprint_order_and_edges(spark, goal, monkeypatch):
     rows = [(5, "a" * 9), (5, "b" * 9), (3, None), (9, ""), (7, "c😀d"), (1, "xyz" * 20_000), (None, "nul"), (-(2**60) - 1, "low")]
