@@ -4,8 +4,8 @@ The most frequent tokens are classes of their own, all others fall into classes
 their last two bytes. The neural model predicts the class of a token from the classes of the two
 before it, as the product of a context vector (bilinear in position and class) with the class's
 output vector plus a bias; within its class a token has its smoothed share of the counts. Training
-reads the counts of class trigrams over the whole training text, so its cost has a bound at any
-input. Scoring takes the softmax over all classes for all contexts in batched matrix products,
+takes expected gradients over the counts of all class trigrams of the whole training text, of which
+no sample is drawn; the table of counts has a bound at any input. Scoring takes the softmax over all classes for all contexts in batched matrix products,
 once a worker, and looks tokens up in it.
 """
 
@@ -119,39 +119,42 @@ class LogBilinear:
         self.C = np.stack([np.eye(dim) * 0.5, np.eye(dim)]) + rng.normal(0, 0.02, (2, dim, dim))
         self.bias = np.zeros(classes)
 
-    def fit(self, grams: np.ndarray, counts: np.ndarray, steps: int = 1500, batch: int = 2048, noise: int = 64, rate: float = 0.15) -> None:
-        """Noise-contrastive estimation on trigrams drawn by count; noise is the class unigram; Adagrad."""
+    def fit(self, grams: np.ndarray, counts: np.ndarray, steps: int = 2000, batch: int = 2048, noise: int = 64, rate: float = 0.15) -> None:
+        """Noise-contrastive estimation by expected gradients over all counts; noise is the class unigram; Adagrad.
+
+        A step takes ``batch`` contexts (pairs of classes before) with all their counts and the
+        expected noise; every context comes once before any comes again.
+        """
         n, d, rng = self.classes, self.dim, self.rng
         if not len(grams):
             return
         unigram = np.bincount(grams % n, counts, minlength=n) + 0.5
         unigram /= unigram.sum()
         self.bias = np.log(unigram)
-        logq = np.log(unigram)
-        cum = np.cumsum(counts) / counts.sum()
+        kq = noise * unigram
+        pairs, row = np.unique(grams // n, return_inverse=True)
+        seen = np.zeros((len(pairs), n))
+        np.add.at(seen, (row, grams % n), counts / counts.sum())
+        blocks = -(-len(pairs) // batch)
         sq = {k: np.full_like(getattr(self, k), 1e-3) for k in ("R", "Q", "C", "bias")}
         cols = np.arange(d)
         for step in range(steps):
-            g = grams[np.minimum(np.searchsorted(cum, rng.random(batch)), len(grams) - 1)]
-            a, b, t = g // (n * n), g // n % n, g % n
-            k = rng.choice(n, noise, p=unigram)
+            if step % blocks == 0:
+                dealt = np.array_split(rng.permutation(len(pairs)), blocks)
+            own = dealt[step % blocks]
+            a, b, c = pairs[own] // n, pairs[own] % n, seen[own]
             Ra, Rb = self.R[a], self.R[b]
             ctx = Ra @ self.C[0].T + Rb @ self.C[1].T
-            pos = (ctx * self.Q[t]).sum(1) + self.bias[t] - logq[t] - np.log(noise)
-            neg = ctx @ self.Q[k].T + self.bias[k] - logq[k] - np.log(noise)
-            gp = 1 / (1 + np.exp(np.clip(pos, -30, 30)))
-            gn = -1 / (1 + np.exp(-np.clip(neg, -30, 30)))
-            dctx = gp[:, None] * self.Q[t] + gn @ self.Q[k]
-            dQ = np.bincount((t[:, None] * d + cols).ravel(), (gp[:, None] * ctx).ravel(), n * d).reshape(n, d)
-            np.add.at(dQ, k, gn.T @ ctx)
-            db = np.bincount(t, gp, n) + np.bincount(k, gn.sum(0), n)
+            is_data = 1 / (1 + kq * np.exp(-np.clip(ctx @ self.Q.T + self.bias, -30, 30)))
+            g = c * (1 - is_data) - c.sum(1, keepdims=True) * kq * is_data
+            dctx, dQ, db = g @ self.Q, g.T @ ctx, g.sum(0)
             da, db2 = dctx @ self.C[0], dctx @ self.C[1]
             dR = np.bincount((a[:, None] * d + cols).ravel(), da.ravel(), n * d)
             dR = (dR + np.bincount((b[:, None] * d + cols).ravel(), db2.ravel(), n * d)).reshape(n, d)
             dC = np.stack([dctx.T @ Ra, dctx.T @ Rb])
             lr = rate * (1 - step / steps) + 0.005
             for name, grad in (("R", dR), ("Q", dQ), ("C", dC), ("bias", db)):
-                grad = grad / batch
+                grad = grad * blocks
                 sq[name] += grad * grad
                 setattr(self, name, getattr(self, name) + lr * grad / np.sqrt(sq[name]))
 
@@ -167,7 +170,7 @@ class LogBilinear:
         return out
 
 
-def score(docs: DataFrame, training: DataFrame, seed: int = 1, frequent: int = FREQUENT, steps: int = 1500) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, seed: int = 1, frequent: int = FREQUENT, steps: int = 2000) -> DataFrame:
     """``docs`` less ``text`` with ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``.
 
     Scores are log10 probabilities of whole texts, ends included: ``base_score`` by smoothed token

@@ -323,6 +323,14 @@ def test_scores_query(spark, sf):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_training_reads_every_count():
+    net = lm_score.LogBilinear(8)
+    start = net.R.copy()
+    grams = np.array([(0 * 8 + 1) * 8 + 2, (1 * 8 + 2) * 8 + 0, (5 * 8 + 6) * 8 + 7])
+    net.fit(grams, np.array([6e8, 4e8, 1.0]), 20)
+    assert (net.R[[0, 1, 2, 5, 6]] != start[[0, 1, 2, 5, 6]]).all() and (net.R[[3, 4, 7]] == start[[3, 4, 7]]).all()
+
+
 def test_model_is_normalised(spark):
     net = lm_score.LogBilinear(8)
     net.fit(np.array([0, 9, 77, 300]), np.array([5.0, 1.0, 2.0, 9.0]), steps=50, batch=32, noise=4)
