@@ -90,10 +90,23 @@ def items_of(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     ).where("n > 0")
 
 
-def windows(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Item-sized windows of each document that has a shingle of the item, aligned with it there.
+def ends(at: Column, n: Column, similarity: float) -> Column:
+    """Starts of the windows of ``n`` shingles that end at one of the sorted positions ``at`` and hold enough of them.
 
-    A window that is similar to an item shares shingles with it, so no other window can count.
+    The first of the best windows ends at a shared shingle, or else the one before would be as
+    good, or is the first of the text. A similar window of full size has 2J/(1+J) n shared
+    shingles or more, the first of a text, which may be shorter, Jn.
+    """
+    full, part = (F.ceil(n * F.lit(share) - 1e-9).cast("int") for share in (2 * similarity / (1 + similarity), similarity))
+    least = lambda p: F.when(p >= n - 1, full).otherwise(part)
+    enough = lambda p, i: F.get(at, i + 1 - least(p)) > p - n
+    return F.transform(F.filter(at, enough), lambda p: F.greatest(p - n + 1, F.lit(0)))
+
+
+def windows(docs: DataFrame, items: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """Item-sized windows of each document that has a shingle of the item: those aligned with it there and ``ends``.
+
+    A window that is similar to an item shares shingles with it, and the first of the best ends at one.
     Columns: ``doc_id``, ``th`` (text hash), ``start`` (word), ``n`` and ``win`` (shingle hashes).
     """
     parts = items.select("item_id", "n", F.posexplode("hs").alias("off", "h")).select("h", "off", "n").distinct()
@@ -101,12 +114,14 @@ def windows(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     if parts.count() <= BROADCAST_SHINGLES:
         parts = F.broadcast(parts)
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    found = (
+    shared = (
         keyed.select("doc_id", "th", F.posexplode(shingles(words(F.col("text")), width)).alias("pos", "h"))
         .join(parts, "h")
-        .select("doc_id", "th", F.greatest(F.col("pos") - F.col("off"), F.lit(0)).alias("start"), "n")
-        .distinct()
+        .groupBy("doc_id", "th", "n")
+        .agg(F.collect_set(F.greatest(F.col("pos") - F.col("off"), F.lit(0))).alias("aligned"), F.array_sort(F.collect_set("pos")).alias("pos"))
     )
+    starts = F.array_union("aligned", ends(F.col("pos"), F.col("n"), similarity))
+    found = shared.select("doc_id", "th", "n", F.explode(starts).alias("start"))
     places = materialize(
         found.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_list(F.struct("start", "n")).alias("at")),
         "windows-at",
@@ -133,7 +148,7 @@ def leaks(
     source_columns(docs, "doc_id", "text")
     source_columns(benchmark, "item_id", "text")
     items = materialize(items_of(benchmark, width).withColumn("fp", simhash(F.col("hs"))), "items")
-    wins = windows(docs, items, width)
+    wins = windows(docs, items, width, similarity)
     wins = materialize(
         wins.select("*", F.xxhash64("win").alias("c1"), F.xxhash64(F.lit(2), "win").alias("c2")), "windows"
     )

@@ -246,6 +246,23 @@ def test_decontamination_edges(spark):
     assert decontaminate.decontaminate(repeated, bench).count() == 10
 
 
+def test_best_window_between_two_alignments(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(7))
+    docs, items = [], []
+    for i in range(12):
+        item = [word() for _ in range(104)]
+        inside = [word() for _ in range(3)] + item[3:52] + [word() for _ in range(6)] + item[52:101] + [word() for _ in range(3)]
+        items.append((i, " ".join(item)))
+        before, after = ([word() for _ in range(k)] for k in (i % 3 * 20, 30))
+        docs.append((i, " ".join([*before, *inside, *after])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.leaks(docs_of(spark, *docs), bench).collect()
+    want = brute_leaks(docs, items)
+    assert len(want) == 12 and {(r.doc_id, r.item_id): round(r.similarity, 6) for r in found} == want
+    assert all(r.start_word > 0 for r in found if r.doc_id % 3)
+
+
 def test_multi_index_guarantee():
     """Some block differs in RADIUS // BLOCKS bits or fewer, whatever RADIUS bits differ."""
     rng = random.Random(6)
