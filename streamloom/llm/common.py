@@ -64,14 +64,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(*dfs: DataFrame) -> None:
-    """Deletes written tables that no later step reads, and lets Spark drop old shuffle files."""
-    spark = None
+    """Deletes written tables that no later step reads."""
     for df in dfs:
-        spark = df.sparkSession
         if path := getattr(df, "_written_at", None):
-            _drop(spark, path)
-    if spark is not None:
-        tidy(spark)
+            _drop(df.sparkSession, path)
 
 
 def tidy(spark: SparkSession) -> None:
@@ -90,6 +86,36 @@ def row_key(df: DataFrame) -> list[Column]:
     ]
 
 
+def bound(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, not at each use inside a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def packed(df: DataFrame, name: str = "row") -> DataFrame:
+    """All columns of ``df`` as one struct, so that no name of ours can meet one of the caller's."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name))
+
+
+#: 64-bit words of a bit map that is broadcast: least and most (2 and 32 MB). About 16 bits for each value until the most is reached.
+MAP_LEAST, MAP_MOST = 1 << 18, 1 << 22
+
+
+def perhaps_in(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` less most of those whose ``key`` (a hash) is not in ``wanted``, by a broadcast bit map of bounded size.
+
+    A full map lets all rows pass: the join that follows decides in any case.
+    """
+    n = wanted.count()
+    words = MAP_LEAST
+    while words < MAP_MOST and words * 4 < n:
+        words *= 2
+    word = F.shiftrightunsigned(key, 6).bitwiseAND(F.lit(words - 1)).alias("_word")
+    bits = wanted.select(word, F.expr(f"shiftleft(1L, cast({key} & 63 as int))").alias("_bit"))
+    bits = bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    here = rows.select("*", word).join(F.broadcast(bits), "_word")
+    return here.where(F.expr(f"getbit(_bits, cast({key} & 63 as int)) = 1")).drop("_word", "_bits")
+
+
 def source_columns(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize, release, tidy
 
 
 def _mark(edges: DataFrame):
@@ -32,14 +32,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             now.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.join(least, "u")
-            .where("v > u AND v <> m")
-            .select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-            .distinct()
-        )
-        low = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        # minima combine before the shuffle and are written, so that a join on a hub can be split
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+        large = materialize(large.distinct(), "large")
+        low = materialize(large.groupBy("hi").agg(F.min("lo").alias("m")), "low")
         small = large.join(low, "hi").select(
             F.explode(
                 F.array(
@@ -49,6 +46,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             ).alias("e")
         )
         step = materialize(small.select("e.hi", "e.lo").where("hi <> lo").distinct(), "edges")
+        release(least, large, low)
         was, mark = mark, _mark(step)
         release(now)
         now = step
@@ -56,5 +54,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
     else:
         raise RuntimeError("connected components did not settle")
+    tidy(edges.sparkSession)
     tops = now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(tops)

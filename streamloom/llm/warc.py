@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release, shared_dir, source_columns, table
+from .common import materialize, release, shared_dir, source_columns, table, tidy
 
 #: Bytes of a record's block before it is split, bytes of a chunk, records a file holds at most.
 SEGMENT, CHUNK, FILE_RECORDS = 32_768, 4096, 1000
@@ -160,6 +160,7 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     writer.text(path)
     del archive, joined, writer
     release(least)
+    tidy(pages.sparkSession)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

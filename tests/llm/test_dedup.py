@@ -176,10 +176,10 @@ def test_bit_maps_never_rule_out_similar_lines(spark):
     rng = random.Random(2)
     lines = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(1, 300))).strip() or "x" for _ in range(30)]
     lines += [x[: len(x) // 2] + "zz" + x[len(x) // 2 :] for x in lines]
-    texts = spark.createDataFrame([(i, i, t) for i, t in enumerate(lines)], "h1 long, h2 long, norm string").selectExpr("struct(h1, h2) as id", "norm")
+    texts = spark.createDataFrame([(i, i, t) for i, t in enumerate(lines)], "h1 long, h2 long, norm string")
     maps = line_dedup.bit_maps(texts)
-    a = maps.selectExpr("id.h1 as a", "size as size_a", "map as map_a")
-    b = maps.selectExpr("id.h1 as b", "size as size_b", "map as map_b")
+    a = maps.selectExpr("h1 as a", "size as size_a", "map as map_a")
+    b = maps.selectExpr("h1 as b", "size as size_b", "map as map_b")
     passed = {(r.a, r.b) for r in a.crossJoin(b).where(line_dedup.may_be_similar(0.8)).select("a", "b").collect()}
     sets = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in lines]
     for i, x in enumerate(sets):
