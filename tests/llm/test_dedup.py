@@ -172,6 +172,63 @@ def test_short_lines_and_lines_of_long_tokens(spark):
     assert got[2] == "" and got[6] == "" and sum(t == "" for t in got.values()) > 60
 
 
+ALPHA = "abcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def near_pairs(kind, count, rng):
+    """Lines and edited copies just over the similarity, with much in common or not at all with others."""
+    token = lambda n, letters=ALPHA: "".join(rng.choice(letters) for _ in range(n))
+    make = {
+        "token": lambda: token(rng.randint(20, 400)),
+        "words": lambda: " ".join(token(rng.randint(2, 9), ALPHA[:26]) for _ in range(8)),
+        "url": lambda: "https://www." + token(10) + ".com/" + "/".join(token(rng.randint(3, 12)) for _ in range(rng.randint(2, 12))),
+        "han": lambda: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(rng.randint(15, 300))),
+        "long": lambda: " ".join(token(rng.randint(2, 9), ALPHA[:26]) for _ in range(rng.randint(40, 120))),
+    }[kind]
+    cut = lambda x: {x[i : i + 5] for i in range(max(1, len(x) - 4))}
+    out = []
+    while len(out) < count:
+        x = make()
+        y, near = x, None
+        while True:
+            at = rng.randrange(len(y))
+            y = y[:at] + rng.choice("#%&$") + y[at + 1 :]
+            a, b = cut(x), cut(y)
+            if len(a & b) < 0.8 * len(a | b):
+                break
+            near = y
+        if near:
+            out.append((x, near))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["token", "words", "url", "han", "long"])
+def test_recall_just_over_the_similarity(spark, kind):
+    pairs = near_pairs(kind, 250, random.Random(11))
+    docs = docs_of(spark, *[(i, "\n".join(p)) for i, p in enumerate(pairs)])
+    kept = {r.doc_id: r.lines_kept for r in line_dedup.dedup_lines(docs).collect()}
+    assert sum(n == 1 for n in kept.values()) >= 0.95 * len(pairs)
+
+
+def test_document_of_many_equal_lines_and_repetitive_lines(spark):
+    many = "\n".join(["the same line"] * 300_000)
+    rows = [(1, many), (2, "ab" * 400), (3, "ab" * 700), (4, "-" * 999), (5, "-" * 500)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs_of(spark, *rows)).collect()}
+    assert got[1].text == "the same line" and (got[1].lines_in, got[1].lines_kept) == (300_000, 1)
+    assert [got[i].lines_kept for i in (2, 3, 4, 5)] == [1, 0, 1, 0]
+
+
+def test_crowded_bucket_is_split(spark):
+    rng = random.Random(9)
+    passage = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(20))
+    own = lambda: " ".join("".join(rng.choice("ijklmnop") for _ in range(6)) for _ in range(8))
+    lines = [f"{passage} {own()}" for _ in range(300)]
+    rows = [(i, x) for i, x in enumerate(lines)] + [(1000 + i, x[:-3] + "zzz") for i, x in enumerate(lines)]
+    got = {r.doc_id: r.lines_kept for r in line_dedup.dedup_lines(docs_of(spark, *rows)).collect()}
+    want = brute_lines(rows)
+    assert sum(got[i] == (want[i] != "") for i in got) >= 0.95 * len(rows)
+
+
 def test_bit_maps_never_rule_out_similar_lines(spark):
     rng = random.Random(2)
     lines = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(1, 300))).strip() or "x" for _ in range(30)]
