@@ -106,6 +106,61 @@ def md5_signed(data: bytes) -> str:
     return f"{n:x}"
 
 
+def text_hash(c: Column, start: int, end: int) -> Column:
+    """``h = 31 * h + unit`` over the characters from ``start`` to before ``end``, as a long that wraps. For the plane of 16 bits."""
+    units = F.encode(F.substring(c, start + 1, end - start), "UTF-16BE")
+    unit = lambda i: F.conv(F.hex(F.substring(units, i * 2 + 1, F.lit(2))), 16, 10).cast("decimal(38,0)")
+    n = F.floor(F.length(units) / 2).cast("int")
+    places = F.filter(F.sequence(F.lit(0), n), lambda i: i < n)
+    wrap = F.lit(1 << 32).cast("decimal(38,0)") * F.lit(1 << 32).cast("decimal(38,0)")
+    step = lambda h, u: F.pmod((h * 31 + u).cast("decimal(38,0)"), wrap).cast("decimal(38,0)")
+    total = F.aggregate(F.transform(places, unit), F.lit(0).cast("decimal(38,0)"), step)
+    return F.when(total >= wrap / 2, total - wrap).otherwise(total).cast("bigint")
+
+
+def prime_at_least(n: int) -> int:
+    """The smallest prime that is not below ``n``: a good number of buckets."""
+    k = max(2, n)
+    while any(k % d == 0 for d in range(2, int(k**0.5) + 1)):
+        k += 1
+    return k
+
+
+def compare_bytes(a: Column, b: Column) -> Column:
+    """-1, 0 or 1, byte by byte without sign."""
+    return F.when(a < b, -1).when(a > b, 1).when(a == b, 0)
+
+
+def starts_with_bytes(c: Column, prefix: Column) -> Column:
+    return F.substring(c, F.lit(1), F.octet_length(prefix)) == prefix
+
+
+def vint(n: int) -> bytes:
+    """A variable-length integer: one byte from -112 to 127, else a byte that tells sign and length, then the magnitude."""
+    if -112 <= n <= 127:
+        return struct.pack("b", n)
+    size = n if n >= 0 else ~n
+    raw = size.to_bytes((size.bit_length() + 7) // 8, "big")
+    return struct.pack("b", (-112 if n >= 0 else -120) - len(raw)) + raw
+
+
+def read_vint(data: bytes) -> int:
+    first = struct.unpack("b", data[:1])[0]
+    if first >= -112:
+        return first
+    n = -112 - first if first >= -120 else -120 - first
+    size = int.from_bytes(data[1 : 1 + n], "big")
+    return size if first >= -120 else ~size
+
+
+def vint_of(c: Column) -> Column:
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else vint(int(v)))
+
+    return F.pandas_udf(run, "binary")(c.cast("string"))
+
+
+read_vint_of = bytes_udf(read_vint, "long")
 md5_signed_of = bytes_udf(md5_signed, "string")
 
 

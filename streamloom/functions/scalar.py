@@ -315,3 +315,21 @@ def smaller(a: Column, b: Column) -> Column:
     x, y = a.try_cast("double"), b.try_cast("double")
     both = x.isNotNull() & y.isNotNull()
     return F.when(a.isNull(), b).when(b.isNull(), a).when(both, F.when(x <= y, a).otherwise(b)).otherwise(F.least(a, b))
+
+
+# more
+def decimal_text(c: Column, pattern: str) -> Column:
+    """A number by a decimal pattern like ``0.00``."""
+    return _decimal(c, pattern)
+
+
+def class_name(c: Column) -> Column:
+    """Name of the public class of a source text, else of its first class."""
+    public = F.regexp_extract(c, r"\bpublic\s+(?:\w+\s+)*class\s+(\w+)", 1)
+    return F.when(public != "", public).otherwise(F.regexp_extract(c, r"\bclass\s+(\w+)", 1))
+
+
+def full_class_name(c: Column) -> Column:
+    """With the package in front, which may have many parts."""
+    package = F.regexp_extract(c, r"(?m)^\s*package\s+([\w.]+)\s*;", 1)
+    return F.when(package != "", F.concat(package, F.lit("."), class_name(c))).otherwise(class_name(c))

@@ -127,6 +127,13 @@ FUNCTIONS: dict[str, tuple[Callable[..., Column], str]] = {
 }
 
 
+def register_function(name: str, f: Callable[..., Column], kind: str = "str") -> None:
+    """Adds a function to the rule language; it gets (Column, kind) pairs."""
+    if kind not in ("num", "str", "bool", "list"):
+        raise ValueError(f"unknown kind {kind!r}")
+    FUNCTIONS[name] = (f, kind)
+
+
 def kind_of(data_type: T.DataType) -> str:
     if isinstance(data_type, T.BooleanType):
         return "bool"

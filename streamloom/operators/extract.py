@@ -86,13 +86,18 @@ def typed(df: DataFrame, fields: tuple[FieldSpec, ...]) -> DataFrame:
 
 
 def envelope(df: DataFrame, host: str = "local", order: list[str] | None = None, partition: list[str] | None = None) -> DataFrame:
-    """Host and log id in front. With ``order`` ids count from 1 within ``partition``; else they only rise within a task."""
-    if order:
+    """Host and log id in front.
+
+    With ``order`` and ``partition`` ids count from 1 within the partition. With ``order`` alone
+    they rise in that order, with gaps: rows are sorted by ranges, never in one task. Else they
+    only rise within a task.
+    """
+    if order and partition:
         from pyspark.sql import Window
 
-        w = Window.partitionBy(*(partition or [])).orderBy(*order)
-        number = F.row_number().over(w).cast("long")
+        number = F.row_number().over(Window.partitionBy(*partition).orderBy(*order)).cast("long")
     else:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
         number = F.monotonically_increasing_id()
     return df.select(F.lit(host).alias(HOST), number.alias(LOG_ID), "*")
 

@@ -89,6 +89,48 @@ def accumulate(old: DataFrame, new: DataFrame, keys: list[str], sums: list[str])
     return old.unionByName(new).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
 
 
+def joined(df: DataFrame, keys: list[str], value: str, sep: str) -> DataFrame:
+    """The distinct texts of each key in order, between separators."""
+    return df.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_set(value)), sep).alias(value))
+
+
+def merged_by(df: DataFrame, keys: list[str], name: str, value: str, out: str) -> DataFrame:
+    """A map of each key's names to the sums of their values."""
+    each = df.groupBy(*keys, name).agg(F.sum(value).alias(value))
+    return each.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(name, value)))).alias(out))
+
+
+def best(df: DataFrame, value: str, order: list[str], least: bool = True) -> DataFrame:
+    """The ``value`` of the row that is least (or largest) by ``order``."""
+    return df.agg((F.min_by if least else F.max_by)(value, F.struct(*order)).alias(value))
+
+
+def counted_log(df: DataFrame, msg: str, order: list[str], time: str, size: Column, rows: int = 1000) -> DataFrame:
+    """A log row for each message and so many rows: number, first and last time, bytes and rows."""
+    w = Window.partitionBy(msg).orderBy(*order)
+    ms = F.unix_millis(F.col(time).cast("timestamp"))
+    part = F.floor((F.row_number().over(w) - 1) / rows).cast("int")
+    return df.withColumn("part", part).groupBy(msg, "part").agg(
+        F.min(ms).alias("start_ms"), F.max(ms).alias("end_ms"), F.sum(size).cast("long").alias("bytes"), F.count("*").alias("n")
+    )
+
+
+def snapshot_json(df: DataFrame, host: str, measures: list[str]) -> DataFrame:
+    """A JSON text for each host, ready to publish."""
+    return df.select(host, F.to_json(F.struct(*measures)).alias("snapshot"))
+
+
+def html_table(df: DataFrame, title: str, most: int = 1000) -> str:
+    """A report page of a small table of metrics: one row for each host or message, ``most`` at most."""
+    import html
+
+    cell = lambda tag, v: f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>"
+    rows = df.limit(most).collect()
+    head = "".join(cell("th", c) for c in df.columns)
+    body = "".join("<tr>" + "".join(cell("td", v) for v in r) + "</tr>" for r in rows)
+    return f"<html><head><title>{html.escape(title)}</title></head><body><table><tr>{head}</tr>{body}</table></body></html>"
+
+
 #: Declared group methods.
 GROUP_METHODS = {"COUNT": F.count, "MAX": F.max, "MIN": F.min, "SUM": F.sum, "AVG": F.avg}
 

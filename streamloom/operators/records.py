@@ -98,7 +98,14 @@ def frames(data: bytes, batch: bool = False) -> Iterator[bytes]:
 
 def split_frames(df: DataFrame, value: str, batch: bool = False) -> DataFrame:
     """Binary content to one row for each frame."""
-    return df.withColumn(value, F.explode(F.udf(lambda b: list(frames(bytes(b), batch)) if b is not None else [], "array<binary>")(value)))
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda b: None if b is None else list(frames(bytes(b), batch)))
+
+    return df.withColumn(value, F.explode(F.pandas_udf(run, "array<binary>")(value)))
+
+
+def wire_codes(types: list[str]) -> list[int]:
+    return [field_type(t).code for t in types]
 
 
 def encode_row(values: list, types: list[str], host: str | None = None, log_id: int | None = None) -> bytes:
@@ -107,8 +114,7 @@ def encode_row(values: list, types: list[str], host: str | None = None, log_id:
     if host is not None:
         raw = host.encode()
         out += [struct.pack(">i", len(raw)), raw, struct.pack(">q", log_id or 0)]
-    for v, declared in zip(values, types):
-        code = field_type(declared).code
+    for v, code in zip(values, types if types and isinstance(types[0], int) else wire_codes(types)):
         if code in (WHOLE, TIME):
             out.append(struct.pack(">q", int(v or 0)))
         elif code == REAL:
@@ -132,8 +138,7 @@ def decode_row(data: bytes, types: list[str], enveloped: bool = False) -> list:
         out.append(text().decode())
         out.append(struct.unpack_from(">q", data, at)[0])
         at += 8
-    for declared in types:
-        code = field_type(declared).code
+    for code in types if types and isinstance(types[0], int) else wire_codes(types):
         if code in (WHOLE, TIME, REAL):
             out.append(struct.unpack_from(">d" if code == REAL else ">q", data, at)[0])
             at += 8
@@ -144,25 +149,40 @@ def decode_row(data: bytes, types: list[str], enveloped: bool = False) -> list:
 
 
 def encode_rows(df: DataFrame, fields: list[tuple[str, str]], out: str = "value") -> DataFrame:
-    """``df`` with a binary column of the fields (name, declared type) in wire form."""
-    names, types = [n for n, _ in fields], [t for _, t in fields]
+    """``df`` with a binary column of the fields (name, declared type) in wire form.
+
+    Whole numbers, text and blobs are packed by Spark; only doubles need their bytes from numpy.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        for pdf in batches:
-            rows = zip(*[[None if x is None or x != x else x for x in pdf[n].astype(object)] for n in names])
-            yield pd.Series([encode_row(list(r), types) for r in rows], dtype=object)
+    def doubles(values: pd.Series) -> pd.Series:
+        raw = values.fillna(0.0).to_numpy(">f8").tobytes()
+        return pd.Series([raw[i : i + 8] for i in range(0, len(raw), 8)], dtype=object)
 
-    return df.withColumn(out, F.pandas_udf(run, "binary")(F.struct(*names)))
+    parts = []
+    for name, code in zip([n for n, _ in fields], wire_codes([t for _, t in fields])):
+        c = F.col(name)
+        if code in (WHOLE, TIME):
+            parts.append(F.unhex(F.lpad(F.hex(F.coalesce(c.cast("bigint"), F.lit(0))), 16, "0")))
+        elif code == REAL:
+            parts.append(F.pandas_udf(doubles, "binary")(c.cast("double")))
+        else:
+            raw = F.coalesce(c if code == BYTES else F.encode(c.cast("string"), "UTF-8"), F.unhex(F.lit("")))
+            parts.append(F.concat(F.unhex(F.lpad(F.hex(F.octet_length(raw)), 8, "0")), raw))
+    return df.withColumn(out, F.concat(*parts))
 
 
 def decode_rows(df: DataFrame, fields: list[tuple[str, str]], value: str = "value") -> DataFrame:
     """The fields of a binary column in wire form, in place of it."""
-    types = [t for _, t in fields]
+    codes = wire_codes([t for _, t in fields])
+    names = [n for n, _ in fields]
+    kinds = {WHOLE: "Int64", TIME: "Int64", REAL: "float64"}
     schema = ", ".join(f"`{n}` {field_type(t).spark.simpleString()}" for n, t in fields)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for column in batches:
-            yield pd.DataFrame([decode_row(bytes(b), types) for b in column], columns=[n for n, _ in fields])
+            rows = [decode_row(bytes(b), codes) for b in column]
+            made = list(zip(*rows)) if rows else [()] * len(names)
+            yield pd.DataFrame({n: pd.Series(list(v), dtype=kinds.get(k, object)) for n, k, v in zip(names, codes, made)})
 
     row = F.pandas_udf(run, schema)(F.col(value))
     return df.withColumn("_row", row).select(*[c for c in df.columns if c != value], "_row.*")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import HOST, LOG_ID, FieldSpec, StoreSpec, StreamSpec
-from ..types import TIME, field_type
+from ..sources.files import delete, list_dir, move
+from ..types import TIME, cast_field, field_type
 from .dedup import first_arrivals
 from .expr import compile_rule, drop_rows
+from .records import split_frames
 
 #: Codec names of the text store and Spark's names for them.
 CODECS = {"default": "deflate", "deflate": "deflate", "bzip2": "bzip2", "gzip": "gzip", "snappy": "snappy", "none": "none"}
@@ -51,7 +55,7 @@ def write_text(
 
 
 def partition_key(df: DataFrame, rule: str | None) -> Column:
-    """``1:f``: the field; ``2:f1,f2``: the texts of the fields in the order of the columns; else a random number."""
+    """``1:f``: the field; ``2:f1,f2``: the texts of the fields in the order of the columns; else a number from the row's hash, equal when a task runs again."""
     kind, _, names = (rule or "").partition(":")
     wanted = {n.strip().upper() for n in names.split(",") if n.strip()}
     chosen = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns if c.upper() in wanted]
@@ -59,7 +63,7 @@ def partition_key(df: DataFrame, rule: str | None) -> Column:
         return chosen[0]
     if kind == "2" and chosen:
         return F.concat(*chosen)
-    return F.floor(F.rand() * (1 << 31)).cast("string")
+    return F.pmod(F.xxhash64(*df.columns), F.lit(1 << 31)).cast("string")
 
 
 def number_partition(key: Column, n: int) -> Column:
@@ -105,6 +109,60 @@ def keyed_table(df: DataFrame, rule: str, fields: list[FieldSpec], merged: str |
     return df.select(row_key(df, rule).alias("row_key"), *made)
 
 
+def spilled(df: DataFrame, names: list[str], sep: str = "^") -> DataFrame:
+    """``value``: the fields as text between separators, behind their length in four bytes; ``unspilled`` reads it."""
+    text = F.encode(F.concat_ws(sep, *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names]), "UTF-8")
+    return df.select(F.concat(F.unhex(F.lpad(F.hex(F.octet_length(text)), 8, "0")), text).alias("value"))
+
+
+def unspilled(df: DataFrame, fields: list[FieldSpec], value: str = "value", sep: str = "^") -> DataFrame:
+    """Spilled content, many records in one value or one, to typed fields. No field may hold the separator."""
+    text = F.decode(F.col(value), "UTF-8")
+    parts = F.split(text, re.escape(sep), -1)
+    each = split_frames(df.select(value), value).select(parts.alias("_p"))
+    return each.select(*[cast_field(F.get("_p", F.lit(i)), f.data_type).alias(f.name) for i, f in enumerate(fields)])
+
+
+#: Suffixes that a codec adds to a file name.
+SUFFIXES = {"deflate": ".deflate", "bzip2": ".bz2", "gzip": ".gz", "snappy": ".snappy", "none": ""}
+
+
+def next_sequence(names: list[str], prefix: str, host: str, day: str) -> int:
+    """One above the largest sequence number of the files of a host and day."""
+    rule = re.compile(re.escape(f"{prefix}_{host}_{day}.") + r"(\d+)\.")
+    return max((int(m[1]) for n in names if (m := rule.match(n))), default=-1) + 1
+
+
+def write_named(df: DataFrame, path: str, prefix: str, host: str, suffix: str = "dat", day: str | None = None, codec: str = "none", max_bytes: int = 1 << 26) -> list[str]:
+    """Files ``prefix_host_yyyyMMdd.seq.suffix[.codec]`` of about ``max_bytes`` of text, by day of the column ``day`` (a
+    text) or today. ``df`` has one text column ``value`` beside it.
+
+    Spark writes into a folder whose name ends with ``~``; files are then moved to their names, one
+    by one, with numbers that go on from those that are there. Rows a file come from the mean size.
+    """
+    spark, codec = df.sparkSession, CODECS[codec.lower()]
+    sized = df.agg(F.avg(F.octet_length("value") + 1)).first()[0]
+    if sized is None:
+        return []
+    rows = df.select("value", (F.col(day) if day else F.date_format(F.current_timestamp(), "yyyyMMdd")).alias("_day"))
+    stage = f"{path.rstrip('/')}/{prefix}_{host}_{uuid.uuid4().hex[:8]}~"
+    writer = rows.write.partitionBy("_day").option("compression", codec).option("maxRecordsPerFile", max(1, int(max_bytes / sized)))
+    writer.text(stage)
+    there = [n for n, _ in list_dir(spark, path)]
+    made = []
+    for folder, _ in list_dir(spark, stage):
+        if not folder.startswith("_day="):
+            continue
+        number = next_sequence(there, prefix, host, folder[5:])
+        for name, _ in sorted(list_dir(spark, f"{stage}/{folder}")):
+            if name.startswith("part-"):
+                made.append(f"{prefix}_{host}_{folder[5:]}.{number}.{suffix}{SUFFIXES[codec]}")
+                move(spark, f"{stage}/{folder}/{name}", f"{path}/{made[-1]}")
+                number += 1
+    delete(spark, stage)
+    return made
+
+
 def write_jdbc(df: DataFrame, url: str, name: str, properties: dict[str, str] | None = None) -> None:
     df.write.jdbc(url, name, mode="append", properties=properties or {})
 

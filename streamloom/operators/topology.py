@@ -2,16 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import time
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .expr import compile_rule, truthy
 from .metrics import group_by_method
 
 
+#: Output fields by class name: functions of the whole input that give a Column.
+CLASSES: dict[str, Callable[[DataFrame], Column]] = {}
+
+
+class Dimension:
+    """A dimension table that is loaded anew once ``cycle`` seconds are past or an event asks for it.
+
+    Call ``table`` in each micro-batch; ``refresh`` is the event.
+    """
+
+    def __init__(self, load: Callable[[], DataFrame], cycle: float | None = None, clock: Callable[[], float] = time.monotonic):
+        self.load, self.cycle, self.clock = load, cycle, clock
+        self.at: float | None = None
+        self.held: DataFrame | None = None
+
+    def refresh(self) -> None:
+        self.at = None
+
+    def table(self) -> DataFrame:
+        now = self.clock()
+        if self.at is None or (self.cycle is not None and now - self.at >= self.cycle):
+            self.held, self.at = self.load(), now
+        return self.held
+
+
 @dataclass(frozen=True)
 class Lookup:
     """A left join with dimension ``table``; ``on``: (field of the stream or an earlier look-up, field of the table)."""
@@ -50,6 +76,39 @@ def keep_rows(df: DataFrame, rule: str | None) -> DataFrame:
     return df.where(truthy(*compile_rule(rule, df.schema))) if rule else df
 
 
+def output(df: DataFrame, rule: str) -> Column:
+    """An output field: ``class:name`` of ``CLASSES``, else a rule."""
+    if rule.startswith("class:"):
+        return CLASSES[rule.removeprefix("class:").strip()](df)
+    return compile_rule(rule, df.schema)[0]
+
+
+def pushes(df: DataFrame, rules: Mapping[str, str]) -> dict[str, DataFrame]:
+    """What each subscriber is sent: the rows that its rule holds for."""
+    return {name: keep_rows(df, rule) for name, rule in rules.items()}
+
+
+def known(df: DataFrame, dim: DataFrame, on: tuple[str, str]) -> DataFrame:
+    """Rows whose field is in the dimension."""
+    return df.join(dim.select(F.col(on[1]).alias("_key")).distinct(), F.col(on[0]) == F.col("_key"), "left_semi")
+
+
+def merged(*streams: DataFrame) -> DataFrame:
+    """All rows of streams with the same fields."""
+    out = streams[0]
+    for s in streams[1:]:
+        out = out.unionByName(s)
+    return out
+
+
+def only_in(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.subtract(b)
+
+
+def in_both(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.intersect(b)
+
+
 def run_node(node: Node, tables: Mapping[str, DataFrame]) -> DataFrame:
     df = tables[node.inputs[0]]
     for name in node.inputs[1:]:
@@ -58,7 +117,7 @@ def run_node(node: Node, tables: Mapping[str, DataFrame]) -> DataFrame:
     for rule in node.lookups:
         df = look_up(df, tables[rule.table], rule)
     if node.outputs:
-        df = df.select(*[compile_rule(rule, df.schema)[0].alias(name) for name, rule in node.outputs])
+        df = df.select(*[output(df, rule).alias(name) for name, rule in node.outputs])
     if node.group:
         df = group_by_method(df, list(node.group_keys), list(node.group))
     return keep_rows(df, node.output_filter).withColumnsRenamed(dict(node.rename))

@@ -50,6 +50,48 @@ def read_text(spark: SparkSession, pattern: str, line: str | None = None, whole:
     return reader.text(path_glob(pattern)).select("value", plain.alias("path")).where(F.col("path").rlike(f"^{path_regex(pattern)}$"))
 
 
+def _hadoop(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath, jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def list_dir(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Name and size of what stands in a folder of any file system of Spark's; a missing folder is empty."""
+    jpath, fs = _hadoop(spark, path)
+    return [(s.getPath().getName(), s.getLen()) for s in fs.listStatus(jpath)] if fs.exists(jpath) else []
+
+
+def make_dir(spark: SparkSession, path: str) -> bool:
+    jpath, fs = _hadoop(spark, path)
+    return fs.mkdirs(jpath)
+
+
+def move(spark: SparkSession, path: str, to: str) -> bool:
+    """Renames a file or folder; an existing target is an error."""
+    jpath, fs = _hadoop(spark, path)
+    target, _ = _hadoop(spark, to)
+    if fs.exists(target):
+        raise FileExistsError(to)
+    return fs.rename(jpath, target)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    jpath, fs = _hadoop(spark, path)
+    return fs.delete(jpath, True)
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of all files below a folder."""
+    jpath, fs = _hadoop(spark, path)
+    return fs.getContentSummary(jpath).getLength()
+
+
+def numbered_files(names: DataFrame, name: str, pattern: str = r"(\d+)$") -> DataFrame:
+    """Rows whose file name holds a number, with it as ``seq``, in its order."""
+    seq = F.regexp_extract(name, pattern, 1).try_cast("bigint")
+    return names.withColumn("seq", seq).where("seq IS NOT NULL").orderBy("seq")
+
+
 class Pointer:
     """How far each folder has been read: ``{folder: [name, modified ms, offset]}``."""
 
@@ -82,7 +124,10 @@ class Pointer:
 
 
 def read_ranges(spark: SparkSession, ranges: list[tuple[str, int, int]], delimiter: str = "\n") -> DataFrame:
-    """Records of byte ranges of files that executors can open, a task for each range."""
+    """Records of byte ranges of files, a task for each range.
+
+    Local files are read from the offset on; files of any other file system are read by Spark, whole, and cut.
+    """
     mark = delimiter.encode()
 
     def run(rows: Iterator) -> Iterator:
@@ -95,6 +140,11 @@ def read_ranges(spark: SparkSession, ranges: list[tuple[str, int, int]], delimit
     if not ranges:
         return spark.createDataFrame([], "path string, value string")
     tasks = spark.createDataFrame(ranges, "path string, start long, end long").repartition(len(ranges), "path", "start")
+    if any("://" in p and not p.startswith("file:") for p, _, _ in ranges):
+        bodies = spark.read.format("binaryFile").load([p for p, _, _ in ranges]).select("path", "content")
+        cut = F.decode(F.substring("content", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")), "UTF-8")
+        parts = tasks.join(bodies, "path").select("path", F.explode(F.split(cut, re.escape(delimiter), -1)).alias("value"))
+        return parts.where("value <> ''")
     return tasks.mapInPandas(run, "path string, value string")
 
 

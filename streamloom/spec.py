@@ -30,6 +30,7 @@ class DistinctRule:
     part_field: str | None = None
     time_field: str | None = None
     expected: int = 10_000
+    check_range: int = 1
 
     @property
     def window_ms(self) -> int:
@@ -45,7 +46,7 @@ class DistinctRule:
         unit, _, count = str(found.get("timeRange") or "").partition(":")
         if not names or unit.lower() not in UNITS_MS or not count.isdigit() or int(count) < 1:
             raise ValueError(f"a distinct rule needs fields and a timeRange like d:1: {found}")
-        return cls(names, unit.lower(), int(count), found.get("partField") or None, found.get("timeField") or None, int(found.get("predictNum") or 10_000))
+        return cls(names, unit.lower(), int(count), found.get("partField") or None, found.get("timeField") or None, int(found.get("predictNum") or 10_000), int(found.get("checkRange") or 1))
 
 
 def parse_config(text: str | None) -> dict[str, str]:

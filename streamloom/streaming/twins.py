@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.expr import drop_rows
 from ..operators.sinks import HOOKS
-from ..spec import DistinctRule, StoreSpec, StreamSpec
+from ..spec import DistinctRule, StoreSpec, StreamSpec, needs_restart
 
 
 def read_events(spark: SparkSession, path: str, schema=None, files_per_trigger: int | None = None) -> DataFrame:
@@ -25,7 +25,7 @@ def read_events(spark: SparkSession, path: str, schema=None, files_per_trigger:
 def dedup_stream(df: DataFrame, rule: DistinctRule, delay: str | None = None) -> DataFrame:
     """One row of each group of duplicates in its tumbling window, kept apart by the window itself.
 
-    The watermark lets state go once a window is past; older rows are late and go. Batches of any
+    The watermark lets state go once the window and ``check_range`` more are past; older rows are late and go. Batches of any
     size give the same groups.
     """
     time = rule.time_field
@@ -33,7 +33,7 @@ def dedup_stream(df: DataFrame, rule: DistinctRule, delay: str | None = None) ->
         raise ValueError("a stream needs a time field to bound its state")
     width = f"{rule.window_ms} milliseconds"
     stamped = df.withColumn(time, F.col(time).cast("timestamp"))
-    marked = stamped.withWatermark(time, delay or width).withColumn("_window", F.window(time, width)["start"])
+    marked = stamped.withWatermark(time, delay or f"{rule.window_ms * rule.check_range} milliseconds").withColumn("_window", F.window(time, width)["start"])
     keys = [*rule.fields, *([rule.part_field] if rule.part_field else []), "_window"]
     return marked.dropDuplicates(keys).drop("_window")
 
@@ -77,21 +77,88 @@ def change_only_stream(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, `{value}` string", "last string", "append", "NoTimeout")
 
 
-def finish(df: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """Runs a stream over all there is and gives its result (for tests and small results: it is kept in memory)."""
-    name = f"t{uuid.uuid4().hex}"
-    writer = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, or below the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def trigger_of(interval: str | None) -> dict:
+    """``processingTime`` with an interval (the poll period), else all there is, once."""
+    return {"processingTime": interval} if interval else {"availableNow": True}
+
+
+def run_to_end(writer) -> object:
+    query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
     if query.exception():
         raise query.exception()
+    return query
+
+
+def finish(df: DataFrame, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
+    """Runs a stream over all there is and gives its result.
+
+    Appended rows go to Parquet in the shared folder and are read from there. Only the result of
+    ``complete`` mode, which is one row for each group, is kept in memory.
+    """
+    writer = df.writeStream.outputMode(mode)
+    if checkpoint:
+        writer = writer.option("checkpointLocation", checkpoint)
+    if mode == "append":
+        path = shared_folder(df.sparkSession)
+        writer = writer if checkpoint else writer.option("checkpointLocation", f"{path}/state")
+        run_to_end(writer.format("parquet").option("path", f"{path}/rows"))
+        return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
+    name = f"t{uuid.uuid4().hex}"
+    run_to_end(writer.format("memory").queryName(name))
     return df.sparkSession.table(name)
 
 
-def start_stores(df: DataFrame, spec: StreamSpec, write: Callable[[StoreSpec, DataFrame, int], None], checkpoints: str) -> list:
-    """One query for each active store, each with its own checkpoint; ``write`` gets the batch id to be idempotent."""
+def progress(query, host: str = "local") -> DataFrame:
+    """Metric snapshots of a stream: a row for each batch with its rows and time, from its progress reports."""
+    from pyspark.sql import SparkSession as Session
+
+    rows = [(host, p["name"], int(p["batchId"]), int(p["numInputRows"]), int(p["batchDuration"])) for p in query.recentProgress]
+    return Session.active().createDataFrame(rows, "host string, name string, batch long, n long, ms long")
+
+
+def drain(queries: list, timeout: float = 60.0) -> None:
+    """Stops streams once they have worked off what has come in."""
+    for query in queries:
+        if query.isActive:
+            query.processAllAvailable()
+            query.stop()
+            query.awaitTermination(timeout)
+
+
+class Running:
+    """The streams of a worker: definitions in, queries started, kept or started anew."""
+
+    def __init__(self, start: Callable[[StreamSpec], list]):
+        self.start, self.specs, self.queries = start, {}, {}
+
+    def apply(self, specs: dict[str, StreamSpec]) -> dict[str, str]:
+        """What was done to each stream: ``start``, ``stop``, ``restart`` or ``keep``."""
+        done = {}
+        for name in sorted({*self.specs, *specs}):
+            old, new = self.specs.get(name), specs.get(name)
+            done[name] = "stop" if new is None else "start" if old is None else "restart" if old != new and needs_restart(old, new) else "keep"
+            if done[name] in ("stop", "restart"):
+                drain(self.queries.pop(name, []))
+                self.specs.pop(name, None)
+            if done[name] in ("start", "restart"):
+                self.queries[name] = self.start(new)
+            if new is not None:
+                self.specs[name] = new
+        return done
+
+
+def start_stores(df: DataFrame, spec: StreamSpec, write: Callable[[StoreSpec, DataFrame, int], None], checkpoints: str, interval: str | None = None) -> list:
+    """One query for each active store, each with its own checkpoint; ``write`` gets the batch id to be idempotent.
+
+    ``interval`` is the time between batches; without it all there is is done once.
+    """
     queries = []
     for store in spec.stores:
         if store.state != 1:
@@ -103,5 +170,5 @@ def start_stores(df: DataFrame, spec: StreamSpec, write: Callable[[StoreSpec, Da
             write(store, HOOKS[store.plugin](rows) if store.plugin else rows, number)
 
         start = out.writeStream.queryName(f"{spec.name}_{store.store_id}").foreachBatch(batch)
-        queries.append(start.option("checkpointLocation", f"{checkpoints}/{store.store_id}").trigger(availableNow=True).start())
+        queries.append(start.option("checkpointLocation", f"{checkpoints}/{store.store_id}").trigger(**trigger_of(interval)).start())
     return queries
