@@ -245,7 +245,7 @@ def filter_null(spark, sf):
 @query("select event_id from events where user_id % 3 <> 0")
 def filter_empty(spark, sf):
     e = events(spark, sf).withColumn("v", F.when(F.col("user_id") % 3 == 0, "").otherwise(F.col("event_type")))
-    return e.where(F.length("v") > 0).select("event_id")
+    return parsed(e.select("event_id", "v"), spec_of(("kind", "VARCHAR", "0")), "v").select("event_id")
 
 
 @query(
@@ -327,18 +327,19 @@ def metric_counters(spark, sf):
 
 @query("select l_suppkey % 5 as host, count(*) as n from lineitem group by 1")
 def metric_by_host(spark, sf):
-    return t(spark, sf, "lineitem").groupBy((F.col("l_suppkey") % 5).alias("host")).agg(F.count("*").alias("n"))
+    return metrics.group_by_method(t(spark, sf, "lineitem").withColumn("host", F.col("l_suppkey") % 5), ["host"], [("n", "COUNT", "l_orderkey")])
 
 
 @query("select l_returnflag as msg, l_linestatus as store, count(*) as n from lineitem group by 1, 2")
 def metric_by_msg_store(spark, sf):
-    return t(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("msg"), F.col("l_linestatus").alias("store")).agg(F.count("*").alias("n"))
+    df = t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("msg"), F.col("l_linestatus").alias("store"))
+    return metrics.group_by_method(df, ["msg", "store"], [("n", "COUNT", "msg")])
 
 
 @query("select l_returnflag as msg, to_json(map_from_entries(list((l_linestatus, n) order by l_linestatus))) as stores from (select l_returnflag, l_linestatus, count(*) n from lineitem group by 1, 2) group by 1")
 def metric_store_map(spark, sf):
-    each = metric_by_msg_store(spark, sf)
-    return each.groupBy("msg").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("store", "n"))))).alias("stores"))
+    each = metrics.merged_by(metric_by_msg_store(spark, sf), ["msg"], "store", "n", "stores")
+    return each.select("msg", F.to_json("stores").alias("stores"))
 
 
 @query("select case when grouping(h)=0 then 'host' when grouping(m)=0 then 'msg' else 'all' end as level, h, m, count(*) as n, cast(sum(l_quantity) as bigint) as qty from (select *, l_suppkey % 5 as h, l_returnflag as m from lineitem) group by grouping sets ((h),(m),())")
@@ -354,7 +355,8 @@ def metric_nested_max(spark, sf):
 
 @query("select event_type, epoch_us(min(ts)) // 1000 as first_ms, epoch_us(max(ts)) // 1000 as last_ms from events group by 1")
 def metric_start_time(spark, sf):
-    return events(spark, sf).groupBy("event_type").agg(F.min(ms()).alias("first_ms"), F.max(ms()).alias("last_ms"))
+    df = events(spark, sf).withColumn("at", ms())
+    return metrics.group_by_method(df, ["event_type"], [("first_ms", "MIN", "at"), ("last_ms", "MAX", "at")])
 
 
 @query("select user_id, case when count(*) > 1 then cast(sum(d) as bigint) // (count(*) - 1) end as rate from (select user_id, event_id - lag(event_id) over (partition by user_id order by event_id) as d from events) group by 1")
@@ -400,12 +402,12 @@ def chain_histogram(spark, sf):
 
 @query("select min(o_orderkey) as lo, max(o_orderkey) as hi, cast(sum(o_custkey) as bigint) as total from orders")
 def minmaxsum(spark, sf):
-    return t(spark, sf, "orders").agg(F.min("o_orderkey").alias("lo"), F.max("o_orderkey").alias("hi"), F.sum("o_custkey").alias("total"))
+    return metrics.group_by_method(t(spark, sf, "orders"), [], [("lo", "MIN", "o_orderkey"), ("hi", "MAX", "o_orderkey"), ("total", "SUM", "o_custkey")])
 
 
 @query("select max(o_orderkey % 1000) as m from orders")
 def max_mod(spark, sf):
-    return t(spark, sf, "orders").agg(F.max(F.col("o_orderkey") % 1000).alias("m"))
+    return metrics.group_by_method(t(spark, sf, "orders"), [], [("m", "MAX", F.col("o_orderkey") % 1000)])
 
 
 @query("select l_returnflag, count(l_orderkey) as c, max(l_quantity) as hi, min(l_quantity) as lo, cast(sum(l_quantity) as bigint) as s, round(avg(l_quantity),6) as a, cast(sum(l_linenumber * l_linenumber) as bigint) as f from lineitem group by 1")
@@ -424,13 +426,12 @@ def upsert_accumulate(spark, sf):
 
 @query("select o_orderstatus, string_agg(o_orderpriority, ';' order by o_orderpriority) as p from (select distinct o_orderstatus, o_orderpriority from orders) group by 1")
 def string_aggregate(spark, sf):
-    each = t(spark, sf, "orders").select("o_orderstatus", "o_orderpriority").distinct()
-    return each.groupBy("o_orderstatus").agg(F.array_join(F.sort_array(F.collect_list("o_orderpriority")), ";").alias("p"))
+    return metrics.joined(t(spark, sf, "orders"), ["o_orderstatus"], "o_orderpriority", ";").withColumnRenamed("o_orderpriority", "p")
 
 
 @query("select l_orderkey, l_linenumber, greatest(l_quantity, l_tax * 100) as hi, least(l_quantity, l_tax * 100) as lo from lineitem")
 def greatest_least(spark, sf):
-    return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.greatest("l_quantity", F.col("l_tax") * 100).alias("hi"), F.least("l_quantity", F.col("l_tax") * 100).alias("lo"))
+    return t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", S.larger(F.col("l_quantity"), F.col("l_tax") * 100).alias("hi"), S.smaller(F.col("l_quantity"), F.col("l_tax") * 100).alias("lo"))
 
 
 # ---- look-ups, sets and order ----------------------------------------------------------------
@@ -469,7 +470,7 @@ def correlated_collect(spark, sf):
 
 @query("select c_custkey from customer where c_custkey in (select o_custkey from orders)")
 def assign_semi(spark, sf):
-    return t(spark, sf, "customer").join(t(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+    return topology.known(t(spark, sf, "customer"), t(spark, sf, "orders"), ("c_custkey", "o_custkey")).select("c_custkey")
 
 
 @query("select coalesce(a.k, b.k) as k, case when a.k is null then 'new' when b.k is null then 'old' else 'both' end as side from (select distinct o_custkey k from orders where o_orderkey % 2 = 0) a full join (select distinct o_custkey k from orders where o_orderkey % 3 = 0) b on a.k = b.k")
@@ -487,27 +488,27 @@ def topk_limit(spark, sf):
 
 @query("select arg_min(s_suppkey, (s_acctbal, s_suppkey)) as s from supplier")
 def argmin_host(spark, sf):
-    return t(spark, sf, "supplier").agg(F.min_by("s_suppkey", F.struct("s_acctbal", "s_suppkey")).alias("s"))
+    return metrics.best(t(spark, sf, "supplier"), "s_suppkey", ["s_acctbal", "s_suppkey"]).toDF("s")
 
 
 @query("select arg_max(s_suppkey, (s_acctbal, s_suppkey)) as s from supplier")
 def argmax_part(spark, sf):
-    return t(spark, sf, "supplier").agg(F.max_by("s_suppkey", F.struct("s_acctbal", "s_suppkey")).alias("s"))
+    return metrics.best(t(spark, sf, "supplier"), "s_suppkey", ["s_acctbal", "s_suppkey"], least=False).toDF("s")
 
 
 @query("select n_name as name from nation union all select r_name from region")
 def union_all(spark, sf):
-    return t(spark, sf, "nation").select(F.col("n_name").alias("name")).unionByName(t(spark, sf, "region").select(F.col("r_name").alias("name")))
+    return topology.merged(t(spark, sf, "nation").select(F.col("n_name").alias("name")), t(spark, sf, "region").select(F.col("r_name").alias("name")))
 
 
 @query("select c_custkey as k from customer except select o_custkey from orders")
 def set_diff(spark, sf):
-    return t(spark, sf, "customer").select(F.col("c_custkey").alias("k")).subtract(t(spark, sf, "orders").select("o_custkey"))
+    return topology.only_in(t(spark, sf, "customer").select(F.col("c_custkey").alias("k")), t(spark, sf, "orders").select("o_custkey"))
 
 
 @query("select c_custkey as k from customer intersect select o_custkey from orders")
 def set_intersect(spark, sf):
-    return t(spark, sf, "customer").select(F.col("c_custkey").alias("k")).intersect(t(spark, sf, "orders").select("o_custkey"))
+    return topology.in_both(t(spark, sf, "customer").select(F.col("c_custkey").alias("k")), t(spark, sf, "orders").select("o_custkey"))
 
 
 @query("select o_orderkey from orders where o_orderdate > timestamp '1996-01-01' order by o_orderkey")
@@ -694,3 +695,6 @@ def task_assign(spark, sf):
     tasks = [(str(i), 22 if i % 5 == 0 else 14) for i in range(20)]
     found = assign(tasks, ["a", "b", "c"], {"a": ["1", "2"], "gone": ["3"]})
     return spark.createDataFrame([(h, x) for h, xs in found.items() for x in xs], "host string, task string")
+
+
+from . import catalog_more  # noqa: E402, F401  (registers more queries)
