@@ -216,10 +216,10 @@ def recover_roles(turns: DataFrame, model: Hmm, block: int = BLOCK) -> DataFrame
     cells = [*[model.step[a, r] for a in range(s) for r in range(s)], *model.start]
     matrix = F.array(*[F.col(f"e{i % s}") + F.lit(float(v)) for i, v in enumerate(cells)])
     path = viterbi(materialize(each.select("conv", "k", matrix.alias("m")), "chat-turns"), s, block)
-    path = path.select(F.col("conv").alias("_c"), F.col("k").alias("_k"), F.get(F.array(*map(F.lit, model.roles)), F.col("state")).alias("role_pred"))
-    rows = turns.withColumn("_o", order)
-    named = rows.join(path, [rows["conv_id"].eqNullSafe(F.col("_c")), rows["_o"] == F.col("_k")])
-    return named.select(*turns.columns, "role_pred", told(F.col("role_pred")).alias("rendered"))
+    path = path.select("conv", "k", F.get(F.array(*map(F.lit, model.roles)), F.col("state")).alias("role_pred"))
+    rows = turns.select(F.struct(*[F.col(f"`{c}`") for c in turns.columns]).alias("row"), order.alias("at"), F.col("text"))
+    named = rows.join(path, [F.col("row.conv_id").eqNullSafe(F.col("conv")), F.col("at") == F.col("k")])
+    return named.select("row.*", "role_pred", told(F.col("role_pred")).alias("rendered"))
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,9 +76,9 @@ def tidy(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def row_key(df: DataFrame) -> list[Column]:
-    """Two 64-bit hashes of a whole row; only rows equal in every column share them."""
-    cols = [F.col(f"`{c}`").cast("string") for c in df.columns]
+def row_key(df: DataFrame, inside: str | None = None) -> list[Column]:
+    """Two 64-bit hashes of a whole row; only rows equal in every column share them. ``inside``: the struct that holds the columns."""
+    cols = [(F.col(inside)[c] if inside else F.col(f"`{c}`")).cast("string") for c in df.columns]
     null = F.concat_ws("", *[F.when(c.isNull(), "0").otherwise("1") for c in cols])
     return [
         F.xxhash64(null, *cols).alias("_k1"),

@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, source_columns, table
+from .common import bound, materialize, packed, source_columns, table
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Bits that differ at most, blocks of a fingerprint. 17 // 6 = 2: some block differs in two bits or fewer.
@@ -25,11 +25,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def bind(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once, not at each use inside a lambda."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def shingles(word_list: Column, width: int = WIDTH) -> Column:
     """Hashes of the shingles in order, repeats included; no word, no shingle."""
 
@@ -40,7 +35,7 @@ def shingles(word_list: Column, width: int = WIDTH) -> Column:
         one = F.array(F.xxhash64(F.array_join(w, " ")))
         return F.when(F.size(w) >= width, many).when(F.size(w) > 0, one).otherwise(F.array().cast("array<bigint>"))
 
-    return bind(word_list, cut)
+    return bound(word_list, cut)
 
 
 def simhash(hashes: Column) -> Column:
@@ -54,7 +49,7 @@ def simhash(hashes: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit)
 
     powers = F.array(*[F.lit((1 << i) - ((1 << 64) if i == 63 else 0)) for i in range(64)])
-    return bind(hashes, bits)
+    return bound(hashes, bits)
 
 
 def block_bounds(blocks: int = BLOCKS) -> list[tuple[int, int]]:
@@ -127,7 +122,7 @@ def windows(docs: DataFrame, items: DataFrame, width: int = WIDTH, similarity: f
         "windows-at",
     )
     rows = keyed.join(places, [F.col("doc_id").eqNullSafe(F.col("_d")), F.col("th") == F.col("_t")])
-    cut = bind(
+    cut = bound(
         shingles(words(F.col("text")), width),
         lambda hs: F.transform(
             F.col("at"), lambda a: F.struct(a["start"].alias("start"), a["n"].alias("n"), F.slice(hs, a["start"] + 1, a["n"]).alias("win"))
@@ -179,10 +174,10 @@ def leaks(
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` less the documents that hold an item of ``benchmark``."""
+    """``docs`` less the documents that hold an item of ``benchmark``; all columns pass through, whatever their names."""
     found = materialize(leaks(docs, benchmark).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).distinct(), "leaks")
-    here = docs.withColumn("_th", F.xxhash64("text"))
-    return here.join(found, [F.col("doc_id").eqNullSafe(F.col("_d")), F.col("_th") == F.col("_t")], "left_anti").select(*docs.columns)
+    here = packed(docs).withColumn("th", F.xxhash64("row.text"))
+    return here.join(found, [F.col("row.doc_id").eqNullSafe(F.col("_d")), F.col("th") == F.col("_t")], "left_anti").select("row.*")
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import source_columns, table
+from .common import packed, source_columns, table
 
 BUCKETS = 1 << 16
 #: Letters of ASCII stay (lower-cased before), bytes of other scripts stay, all else is a space.
@@ -134,8 +134,8 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFr
 
     guess = F.pandas_udf(run, "lang_pred string, score double")
     # the type hints that choose the iterator form are given by name, so that closures stay plain
-    out = docs.withColumn("_guess", guess(F.col(text)))
-    return out.select(*docs.columns, "_guess.lang_pred", "_guess.score")
+    out = packed(docs).withColumn("guess", guess(F.col("row")[text]))
+    return out.select("row.*", "guess.lang_pred", "guess.score")
 
 
 def held_out_flag(doc_id, mod: int, rest: int):
@@ -156,6 +156,6 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.3) -> DataFrame:
     """The documents with a language that makes up at least ``least`` of them; the columns of ``docs``."""
-    bare = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    bare = packed(docs, "_row").withColumn("text", F.col("_row.text"))
     told = predict(bare, model).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
     return told.select("_row.*")

@@ -176,7 +176,8 @@ def score(docs: DataFrame, training: DataFrame, seed: int = 1, frequent: int = F
     Scores are log10 probabilities of whole texts, ends included: ``base_score`` by smoothed token
     frequency, ``score`` by the model. A null text is an empty one. With no training text every
     token is unknown and classes are alike. Repeated rows each count in training and get equal scores. Tokens
-    too rare to be listed meet their counts by 64-bit hash. No rows give no rows.
+    too rare to be listed meet their counts by 64-bit hash. No rows give no rows. Columns of the new names are
+    replaced, others pass through.
     """
     source_columns(docs, "text")
     spark = docs.sparkSession
@@ -200,7 +201,10 @@ def score(docs: DataFrame, training: DataFrame, seed: int = 1, frequent: int = F
     del tri, grams, sums, rank
     mass = _class_mass(vocab, listed[:SINGLE])
     params = spark.sparkContext.broadcast((model.R, model.Q, model.C, model.bias, np.log10(mass)))
-    keep = [c for c in docs.columns if c != "text"]
+    docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    others = [c for c in docs.columns if c != "text"]
+    docs = docs.select(*([F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")] if others else []), "text")
+    keep = ["row"] if others else []
     base_norm = float(np.log10(n_all + SMOOTH * (n_kinds + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +241,7 @@ def score(docs: DataFrame, training: DataFrame, seed: int = 1, frequent: int = F
     whole = parts.drop("_rare").join(sums, "_uid", "left")
     logs = F.col("_logs") + F.coalesce("_more", F.lit(0.0))
     return whole.select(
-        *keep,
+        *(["row.*"] if others else []),
         F.col("_n").alias("n_tokens"),
         (F.col("_known") + F.coalesce("_also", F.lit(0))).alias("n_known"),
         F.lit(int(n_all)).cast("long").alias("train_tokens"),

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, release, row_key, source_columns, table
+from .common import WORD, materialize, packed, row_key, source_columns, table
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 BLOCK = 4096
@@ -141,27 +141,27 @@ def sample(units: DataFrame, seed: int = 1, block: int = BLOCK) -> DataFrame:
 def mix(docs: DataFrame, size: str = "size", source: str = "source", seed: int = 1) -> DataFrame:
     """``docs`` with ``source_size``, ``target`` and ``copies`` (0 to 2).
 
-    A null source is a source of its own. Documents of size 0 and sources without words get no
+    Columns of these names are replaced, others pass through. A null source is a source of its own. Documents of size 0 and sources without words get no
     target beyond 0. Ties and repeated rows draw one by one, and equal input gives equal draws in any
     partitioning unless rows are equal in all columns. No rows give no rows.
     """
     source_columns(docs, size, source)
-    rows = materialize(docs.select("*", F.xxhash64(*docs.columns).alias("_h")), "mix-rows")
-    totals = {r[0]: r[1] for r in rows.groupBy(source).agg(F.sum(size).cast("long")).collect()}
+    docs = docs.drop(*{"source_size", "target", "copies"} - {size, source})
+    cols = [F.col("row")[c] for c in docs.columns]
+    rows = packed(docs).select("row", F.col("row")[size].alias("size"), F.col("row")[source].alias("source"))
+    rows = materialize(rows.select("*", F.xxhash64(*cols).alias("h"), F.xxhash64(F.lit(1), *cols).alias("k1")), "mix-rows")
+    totals = {r[0]: r[1] for r in rows.groupBy("source").agg(F.sum("size").cast("long")).collect()}
     goal = targets(totals)
     spark = docs.sparkSession
     known = [(i, s, totals[s], float(goal[s]), goal[s] / totals[s] if totals[s] else 0.0) for i, s in enumerate(goal)]
-    shares = spark.createDataFrame(known, "sid int, _source string, source_size long, target double, f double")
-    joined = rows.join(shares, rows[source].eqNullSafe(shares["_source"])).drop("_source")
+    shares = spark.createDataFrame(known, "sid int, name string, source_size long, target double, f double")
+    joined = rows.join(shares, F.col("source").eqNullSafe(F.col("name")))
     whole = F.floor(F.col("f") + EPS)
-    row = F.struct(*docs.columns, "source_size", "target", whole.alias("whole")).alias("row")
-    units = joined.select(
-        "sid", F.col(size).alias("size"), F.greatest(F.lit(0.0), F.col("f") - whole).alias("p"), F.col("_h").alias("h"),
-        F.xxhash64(F.lit(1), *docs.columns).alias("k1"), row,
-    )
+    part = F.greatest(F.lit(0.0), F.col("f") - whole).alias("p")
+    units = joined.select("sid", "size", part, "h", "k1", "row", "source_size", "target", whole.alias("whole"))
     drawn = sample(units, seed)
-    out = drawn.select("row.*", F.col("p").cast("long").alias("picked"))
-    return out.select(*docs.columns, "source_size", "target", (F.col("whole") + F.col("picked")).cast("long").alias("copies"))
+    copies = (F.col("whole") + F.col("p").cast("long")).cast("long").alias("copies")
+    return drawn.select(*[F.col("row")[c].alias(c) for c in docs.columns], "source_size", "target", copies)
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -176,12 +176,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     Rows equal in all columns draw as one and share their copies. Columns of these names are replaced.
     """
     docs = docs.drop("mix_size", "mix_target", "mix_copies")
-    keyed = docs.select("*", *row_key(docs))
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    units = keyed.select("_k1", "_k2", "source", words.alias("size")).dropDuplicates(["_k1", "_k2"])
+    keyed = packed(docs).select("row", *row_key(docs, "row"))
+    words = F.coalesce(F.regexp_count("row.text", F.lit(WORD)), F.lit(0)).cast("long")
+    units = keyed.select("_k1", "_k2", "row.source", words.alias("size")).dropDuplicates(["_k1", "_k2"])
     taken = mix(units).where("copies > 0").select("_k1", "_k2", F.col("size").alias("mix_size"), F.col("target").alias("mix_target"), F.col("copies").alias("mix_copies"))
     taken = materialize(taken, "mix-taken")
-    return keyed.join(taken, ["_k1", "_k2"]).drop("_k1", "_k2")
+    return keyed.join(taken, ["_k1", "_k2"]).select("row.*", "mix_size", "mix_target", "mix_copies")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release, row_key, source_columns, table
+from .common import materialize, packed, release, row_key, source_columns, table
 from .graph import connected_components
 
 WIDTH, SEED, RADIUS, BLOCKS = 3, 42, 2, 4
@@ -96,8 +96,10 @@ def components(docs: DataFrame, width: int = WIDTH, seed: int = SEED, radius: in
     Null and empty texts have fingerprint 0 and link like any other; texts of any length count
     whole. Repeated rows stay rows and share a component. A null ``doc_id`` keeps its row and is no
     candidate for ``component_id`` (null if the whole component has none). No rows: no rows.
+    Columns named ``fp``, ``_fp``, ``component`` or ``component_id`` are replaced.
     """
     source_columns(docs, "doc_id", "text")
+    docs = docs.drop("fp", "component", "component_id", "_fp")
     rows = materialize(add_fingerprints(docs, "text", width, seed).withColumnRenamed("_fp", "fp"), "simhash")
     ids = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-ids")
     edges = links(ids.select("fp"), radius)
@@ -113,14 +115,17 @@ def components(docs: DataFrame, width: int = WIDTH, seed: int = SEED, radius: in
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest ``doc_id``, with the columns of ``docs``.
 
-    Ties (repeated ids) go to the smallest row hash; rows equal in all columns count as one.
+    Ties (repeated ids) go to the smallest row hash; rows equal in all columns count as one. Columns
+    of any name pass through.
     """
-    keys = docs.select("doc_id", "text", *row_key(docs))
+    rows = packed(docs)
+    rows = rows.select("row", *row_key(docs, "row"))
+    keys = rows.select("row.doc_id", "row.text", "_k1", "_k2")
     each = components(keys)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_k1", "_k2")).alias("first")
     kept = each.groupBy("component").agg(first).select("first._k1", "first._k2")
     kept = materialize(kept, "simhash-kept")
-    return docs.select("*", *row_key(docs)).join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).drop("_k1", "_k2")
+    return rows.join(kept, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select("row.*")
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, source_columns, table
+from .common import ascii_lower, packed, source_columns, table
 
 #: The rules, a host with a path that the url's path starts with, and the verdict.
 RULES = (
@@ -221,9 +221,10 @@ def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, samp
     """
     source_columns(pages, "url")
     pages = pages.drop("host", "path", "rule", "verdict", "score")
-    named = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    url = F.col("row.url")
+    named = packed(pages).withColumns({"host": host_of(url), "path": path_of(url)})
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    ruled = named.withColumns({"rule": rule, "_label": verdict})
+    ruled = named.withColumns({"rule": rule, "told": verdict})
     spark = pages.sparkSession
     if labelled is None:
         labelled = spark.createDataFrame(labelled_urls(), "url string, label string")
@@ -240,9 +241,9 @@ def judge(pages: DataFrame, rules=RULES, labelled: DataFrame | None = None, samp
             yield pd.Series(trees.predict(url.fillna("").tolist(), host.tolist(), path.tolist()))
 
     guess = F.pandas_udf(run, "double")
-    scored = ruled.withColumn("score", guess("url", "host", "path"))
-    final = F.coalesce("_label", F.when(F.col("score") > 0.5, "block").otherwise("allow"))
-    return scored.select(*pages.columns, "host", "path", "rule", final.alias("verdict"), "score")
+    scored = ruled.withColumn("score", guess(url, "host", "path"))
+    final = F.coalesce("told", F.when(F.col("score") > 0.5, "block").otherwise("allow"))
+    return scored.select("row.*", "host", "path", "rule", final.alias("verdict"), "score")
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
