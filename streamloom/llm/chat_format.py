@@ -1,11 +1,13 @@
-"""Chat formatting: a hidden Markov model recovers the roles of a transcript, then turns are rendered.
-
-The hidden state of a turn is its role. Its marks (speaker marker, length, lines, question, list or
-code lines) are independent given the role, and roles follow each other as a Markov chain; all
-probabilities are smoothed counts of labelled turns. Viterbi works in blocks, so that a conversation
-of any length is never in one task: a block's turns make one matrix of best scores between the role
-before it and its last role, blocks of blocks do the same until a conversation is one block, and on
-the way back each block's best path is found between the roles at its ends.
+"""Chat formatting: a hidden Markov model recovers turns and roles of a transcript, then turns are rendered.
+
+The hidden state of a line is the role that speaks and whether the line begins a turn. Its marks
+(speaker marker, length, question, list or code) are independent given the state, and states follow
+each other as a Markov chain; all probabilities are smoothed counts of labelled turns. Turns that
+come apart already are the same with one state a role and a turn for a line. Viterbi works in
+blocks, so that a conversation of any length is never in one task: a block's lines make one matrix
+of best scores between the state before it and its last state, blocks of blocks do the same until a
+conversation is one block, and on the way back each block's best path is found between the states
+at its ends.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, source_columns, table
@@ -33,9 +35,12 @@ BLOCK = 512
 
 
 def marker_pattern(names: tuple[str, ...]) -> str:
-    """A marker at the start: ``Name:``, ``[Name]``, ``**Name:**``, ``### Name`` or ``<|im_start|>name``."""
-    any_name = "|".join(names)
-    return rf"(?i)^\s*(?:<\|(?:im_start\|>)?(?:{any_name})(?:\|>)?\s|[\[(](?:{any_name})[\])]\s*:?\s*|(?:\*\*|#{{1,4}}\s*)?(?:{any_name})\s*(?:[:>]|\n)(?:\*\*)?\s*)"
+    """A marker at the start: ``Name:``, ``[Name]``, ``**Name:**``, ``### Name`` on a line of its own or ``<|im_start|>name``."""
+    name = f"(?:{'|'.join(names)})"
+    return (
+        rf"(?i)^\s*(?:<\|(?:im_start\|>)?{name}(?:\|>)?\s|[\[(]{name}[\])]\s*:?\s*"
+        rf"|#{{1,4}}\s*{name}\s*(?:[:>]|\n|$)\s*|(?:\*\*)?{name}\s*[:>](?:\*\*)?\s*)"
+    )
 
 
 def markers() -> list[tuple[str, str]]:
@@ -55,21 +60,18 @@ def marks(text: Column) -> list[Column]:
     return [kind.cast("int"), size, lines, asks, lists]
 
 
-def content(text: Column) -> Column:
-    """The text less its speaker marker and end tag."""
+def content(text: Column, role: Column) -> Column:
+    """The text less its end tag and one speaker marker at its start, if that marker stands for ``role``."""
     text = F.coalesce(text, F.lit(""))
-    for _, pattern in markers():
-        text = F.regexp_replace(text, pattern, "")
-    return F.regexp_replace(text, r"<\|(?:im_end|end)\|>\s*$", "")
+    out = text
+    for name, pattern in markers():
+        out = F.when((role == name) & text.rlike(pattern), F.regexp_replace(text, pattern, "")).otherwise(out)
+    return F.regexp_replace(out, r"<\|(?:im_end|end)\|>\s*$", "")
 
 
-def segments(transcripts: DataFrame) -> DataFrame:
-    """Turns (``conv_id``, ``turn``, ``text``) of whole transcripts (``conv_id``, ``text``): a line with a marker starts one."""
-    starts = "|".join(p.removeprefix(r"(?i)^\s*") for _, p in markers())
-    parts = F.split(F.coalesce("text", F.lit("")), rf"(?i)(?<=\n)(?={starts})")
-    return transcripts.select("conv_id", F.posexplode(parts).alias("turn", "text")).where(F.trim("text") != "").withColumn(
-        "turn", F.col("turn").cast("long")
-    )
+def rendered(text: Column, role: Column) -> Column:
+    """The canonical turn."""
+    return F.concat(F.lit("<|"), role, F.lit("|>\n"), content(text, role), F.lit("\n<|end|>\n"))
 
 
 @dataclass(frozen=True)
@@ -80,95 +82,142 @@ class Hmm:
     emit: tuple[np.ndarray, ...]  # for each mark: roles x values
 
 
-def train(turns: DataFrame, smooth: float = 0.5) -> Hmm:
-    """Counts the turns that have a role. The driver gets counts of roles, pairs of roles and marks only.
+def _log(x: np.ndarray) -> np.ndarray:
+    return np.log(x / x.sum(-1, keepdims=True)) if len(x) else x
 
-    The role before a turn is that of the turn with the number before, so that no conversation is
-    brought together; a turn without one counts as a first turn if its number is the smallest there can be (0 or 1).
+
+def _firsts_and_moves(known: DataFrame, first: str, last: str, place: dict[str, int], smooth: float) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the states that conversations start with and of pairs of states of turns that follow each other.
+
+    The turn before is that with the number before, so that no conversation is brought together; a turn
+    without one counts as a first turn if its number is the smallest there can be (0 or 1).
     """
-    known = turns.where(F.col("role").isNotNull())
-    roles = tuple(sorted(r[0] for r in known.select("role").distinct().collect()))
-    place, s = {r: i for i, r in enumerate(roles)}, len(roles)
-    emit = [np.full((s, n), smooth) for n in SIZES]
+    s = len(place)
+    start, step = np.full(s, smooth), np.full((s, s), smooth)
+    now = known.select("conv_id", "turn", F.col(first).alias("state"))
+    before = known.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col(last).alias("before")).where("turn IS NOT NULL")
+    before = before.groupBy("conv_id", "turn").agg(F.min("before").alias("before"))
+    both = now.join(before, ["conv_id", "turn"], "left")
+    for r in both.where("before IS NOT NULL OR turn IN (0, 1)").groupBy("before", "state").count().collect():
+        if r["before"] is None:
+            start[place[r["state"]]] += r["count"]
+        else:
+            step[place[r["before"]], place[r["state"]]] += r["count"]
+    return start, step
+
+
+def _emissions(rows: DataFrame, state: str, place: dict[str, int], smooth: float) -> list[np.ndarray]:
+    """Counts of the values of each mark in each state."""
+    emit = [np.full((len(place), n), smooth) for n in SIZES]
     for i, role in enumerate(MARKERS, 1):  # a marker speaks for its role before any is counted
         if role in place:
             emit[0][place[role], i] += 20
-    counts = known.select("role", *[m.alias(f"m{j}") for j, m in enumerate(marks(F.col("text")))])
+    counts = rows.select(F.col(state).alias("state"), *[m.alias(f"m{j}") for j, m in enumerate(marks(F.col("text")))])
     pairs = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"m{j}").alias("v")) for j in range(len(SIZES))])).alias("p")
-    for r in counts.select("role", pairs).groupBy("role", "p.j", "p.v").count().collect():
-        emit[r["j"]][place[r["role"]], r["v"]] += r["count"]
-    start, step = np.full(s, smooth), np.full((s, s), smooth)
-    for r in known.where("turn = 0").groupBy("role").count().collect():
-        start[place[r["role"]]] += r["count"]
-    before = known.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("role").alias("before"))
-    before = before.groupBy("conv_id", "turn").agg(F.min("before").alias("before"))
-    moves = known.select("conv_id", "turn", "role").join(before, ["conv_id", "turn"])
-    for r in moves.groupBy("before", "role").count().collect():
-        step[place[r["before"]], place[r["role"]]] += r["count"]
-    log = lambda x: np.log(x / x.sum(-1, keepdims=True)) if s else x
-    return Hmm(roles, log(start), log(step), tuple(log(e) for e in emit))
+    for r in counts.select("state", pairs).groupBy("state", "p.j", "p.v").count().collect():
+        emit[r["j"]][place[r["state"]], r["v"]] += r["count"]
+    return emit
+
+
+def train(turns: DataFrame, smooth: float = 0.5) -> Hmm:
+    """A model of turns (``conv_id``, ``turn``, ``role``, ``text``) that come apart; rows without a role are left out.
+
+    The driver gets counts of roles, pairs of roles and marks only.
+    """
+    known = turns.where(F.col("role").isNotNull()).select("conv_id", F.col("turn").cast("decimal(20,0)").alias("turn"), "role", "text")
+    roles = tuple(sorted(r[0] for r in known.select("role").distinct().collect()))
+    place = {r: i for i, r in enumerate(roles)}
+    start, step = _firsts_and_moves(known, "role", "role", place, smooth)
+    return Hmm(roles, _log(start), _log(step), tuple(map(_log, _emissions(known, "role", place, smooth))))
+
+
+#: What a state's name ends with if the line goes on with a turn.
+INSIDE = "+"
+
+
+def train_lines(turns: DataFrame, smooth: float = 0.5) -> Hmm:
+    """A model of the lines of turns (``conv_id``, ``turn``, ``role``, ``text`` with its speaker marker): for each role a
+    state that begins a turn and one that goes on. Moves that can't be have next to no chance."""
+    known = turns.where(F.col("role").isNotNull()).select("conv_id", F.col("turn").cast("decimal(20,0)").alias("turn"), "role", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    names = sorted(r[0] for r in known.select("role").distinct().collect())
+    roles = (*names, *(r + INSIDE for r in names))
+    place, n = {r: i for i, r in enumerate(roles)}, len(names)
+    known = known.withColumn("last", F.when(F.size("lines") > 1, F.concat("role", F.lit(INSIDE))).otherwise(F.col("role")))
+    start, step = _firsts_and_moves(known, "role", "last", place, smooth)
+    start[n:] = 1e-9
+    step[:, n:] = 1e-9
+    within = known.groupBy("role").agg(F.sum((F.size("lines") > 1).cast("long")).alias("once"), F.sum(F.greatest(F.size("lines") - 2, F.lit(0))).alias("more"))
+    for r in within.collect():
+        at = place[r["role"]]
+        step[at, at + n] = smooth + r["once"]
+        step[at + n, at + n] = smooth + r["more"]
+    each = known.select("role", F.posexplode("lines").alias("i", "text"))
+    each = each.withColumn("state", F.when(F.col("i") == 0, F.col("role")).otherwise(F.concat("role", F.lit(INSIDE))))
+    return Hmm(roles, _log(start), _log(step), tuple(map(_log, _emissions(each, "state", place, smooth))))
 
 
 def _max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :, :]).max(1)
 
 
-def _groups(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
-    """Runs of equal keys in sorted batches, each whole."""
-    held: list[pd.DataFrame] = []
+def _groups(batches: Iterator[pd.DataFrame], extra: tuple[str, ...] = ()) -> Iterator[tuple]:
+    """Runs of equal ``conv`` and ``block`` in sorted batches, each whole: conv, block, array of ``k``, list of ``m``, first of each ``extra``."""
+    held = None
     for pdf in batches:
-        if not len(pdf):
-            continue
-        k = pdf[keys]
-        new = ((k != k.shift()) & ~(k.isna() & k.shift().isna())).any(axis=1).to_numpy()
-        if held:
-            last, first = held[-1][keys].iloc[-1], k.iloc[0]
-            new[0] = not all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(last, first))
-        else:
-            new[0] = True
-        cuts = [*np.nonzero(new)[0].tolist(), len(pdf)]
-        if cuts[0] > 0:
-            held.append(pdf.iloc[: cuts[0]])
-        for a, b in zip(cuts, cuts[1:]):
-            if held:
-                yield pd.concat(held) if len(held) > 1 else held[0]
-            held = [pdf.iloc[a:b]]
-    if held:
-        yield pd.concat(held) if len(held) > 1 else held[0]
-
-
-def viterbi(positions: DataFrame, states: int, block: int = BLOCK) -> DataFrame:
+        conv, block = pdf["conv"].tolist(), pdf["block"].tolist()
+        ks, ms, more = pdf["k"].tolist(), pdf["m"].tolist(), [pdf[c].tolist() for c in extra]
+        conv = [None if c != c else c for c in conv]
+        for i, key in enumerate(zip(conv, block)):
+            if held is None or held[0] != key:
+                if held is not None:
+                    yield (*held[0], *held[1:])
+                held = (key, [], [], [c[i] for c in more])
+            held[1].append(ks[i])
+            held[2].append(ms[i])
+    if held is not None:
+        yield (*held[0], *held[1:])
+
+
+def viterbi(positions: DataFrame, states: int, block: int = BLOCK, base: np.ndarray | None = None) -> DataFrame:
     """The best path. ``positions``: ``conv``, ``k`` (order, not negative) and ``m``, a flat matrix with a row for each
-    state before and one for none. Returns ``conv``, ``k``, ``state``. Ties go to the lower state."""
+    state before and one for none; with ``base``, such a matrix, ``m`` has only what each state adds to it.
+    Returns ``conv``, ``k``, ``state``. Ties go to the lower state."""
     shape = (states + 1, states)
 
+    def matrix(m) -> np.ndarray:
+        m = np.asarray(m, float)
+        return base + m if base is not None and m.size == states else m.reshape(shape)
+
     def up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        for g in _groups(batches, ["conv", "block"]):
-            mats = [np.asarray(m, float).reshape(shape) for m in g["m"]]
-            best = mats[0]
-            for m in mats[1:]:
-                best = _max_plus(best, m[:states])
-            out.append((g["conv"].iloc[0], g["block"].iloc[0], best.ravel()))
+        for conv, number, _, ms, _ in _groups(batches):
+            best = matrix(ms[0])
+            for m in ms[1:]:
+                best = _max_plus(best, matrix(m)[:states])
+            out.append((conv, number, best.ravel()))
             if len(out) == 5000:
                 yield pd.DataFrame(out, columns=["conv", "k", "m"])
                 out = []
         yield pd.DataFrame(out, columns=["conv", "k", "m"])
 
     def down(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in _groups(batches, ["conv", "block"]):
+        out: list[tuple] = []
+        for conv, _, ks, ms, (before, state) in _groups(batches, ("before", "state")):
             best, back = np.full(states + 1, -np.inf), []
-            best[int(g["before"].iloc[0])] = 0.0
-            for m in g["m"]:
-                scores = best[:, None] + np.asarray(m, float).reshape(shape)[: len(best)]
+            best[int(before)] = 0.0
+            for m in ms:
+                scores = best[:, None] + matrix(m)[: len(best)]
                 back.append(scores.argmax(0))
                 best = scores.max(0)
-            path = [int(g["state"].iloc[0])]
+            path = [int(state)]
             for b in reversed(back[1:]):
                 path.append(int(b[path[-1]]))
             path.reverse()
-            ahead = [int(g["before"].iloc[0]), *path[:-1]]
-            yield pd.DataFrame({"conv": g["conv"], "k": g["k"], "before": ahead, "state": path})
+            out += zip([conv] * len(ks), ks, [int(before), *path[:-1]], path)
+            if len(out) > 20_000:
+                yield pd.DataFrame(out, columns=["conv", "k", "before", "state"])
+                out = []
+        yield pd.DataFrame(out, columns=["conv", "k", "before", "state"])
 
     # conversations travel as text: pandas would round large ids beside nulls
     levels = [positions.withColumn("conv", F.col("conv").cast("string"))]
@@ -202,31 +251,109 @@ def recover_roles(turns: DataFrame, model: Hmm, block: int = BLOCK) -> DataFrame
     source_columns(turns, "conv_id", "turn", "text")
     turns = turns.drop("role_pred", "rendered")
     s = len(model.roles)
-    told = lambda role: F.concat(F.lit("<|"), role, F.lit("|>\n"), content(F.col("text")), F.lit("\n<|end|>\n"))
     if not s:
-        return turns.withColumns({"role_pred": F.lit("unknown"), "rendered": told(F.lit("unknown"))})
-    order = F.coalesce(F.col("turn") + F.lit(1 << 62), F.lit((1 << 63) - 1))
-    where = marks(F.col("text"))
-    emit = [
-        sum((F.get(F.array(*[F.lit(float(v)) for v in table_[r]]), m) for table_, m in zip(model.emit, where)), F.lit(0.0))
-        for r in range(s)
-    ]
-    each = turns.select(F.col("conv_id").alias("conv"), order.alias("k"), *[e.alias(f"e{r}") for r, e in enumerate(emit)])
+        return turns.withColumns({"role_pred": F.lit("unknown"), "rendered": rendered(F.col("text"), F.lit("unknown"))})
+    far = 1 << 62
+    order = F.coalesce(F.least(F.greatest(F.col("turn").cast("long"), F.lit(-far)), F.lit(far - 2)) + F.lit(far), F.lit((1 << 63) - 1))
+    each = turns.select(F.col("conv_id").alias("conv"), order.alias("k"), *emissions(F.col("text"), model))
     each = each.groupBy("conv", "k").agg(*[F.sum(f"e{r}").alias(f"e{r}") for r in range(s)])
-    cells = [*[model.step[a, r] for a in range(s) for r in range(s)], *model.start]
-    matrix = F.array(*[F.col(f"e{i % s}") + F.lit(float(v)) for i, v in enumerate(cells)])
-    path = viterbi(materialize(each.select("conv", "k", matrix.alias("m")), "chat-turns"), s, block)
+    each = each.select("conv", "k", F.array(*[f"e{r}" for r in range(s)]).alias("m"))
+    path = viterbi(materialize(each, "chat-turns"), s, block, np.vstack([model.step, model.start]))
     path = path.select("conv", "k", F.get(F.array(*map(F.lit, model.roles)), F.col("state")).alias("role_pred"))
-    rows = turns.select(F.struct(*[F.col(f"`{c}`") for c in turns.columns]).alias("row"), order.alias("at"), F.col("text"))
+    rows = turns.select(F.struct(*[F.col(f"`{c}`") for c in turns.columns]).alias("row"), order.alias("at"))
     named = rows.join(path, [F.col("row.conv_id").eqNullSafe(F.col("conv")), F.col("at") == F.col("k")])
-    return named.select("row.*", "role_pred", told(F.col("role_pred")).alias("rendered"))
+    return named.select("row.*", "role_pred", rendered(F.col("row.text"), F.col("role_pred")).alias("rendered"))
+
+
+def emissions(text: Column, model: Hmm) -> list[Column]:
+    """``e0``...: the log chance of the marks of a text in each state."""
+    where = marks(text)
+    made = [
+        sum((F.get(F.array(*[F.lit(float(v)) for v in table_[r]]), m) for table_, m in zip(model.emit, where)), F.lit(0.0))
+        for r in range(len(model.roles))
+    ]
+    return [e.alias(f"e{r}") for r, e in enumerate(made)]
+
+
+def parse_transcripts(transcripts: DataFrame, model: Hmm, block: int = BLOCK) -> DataFrame:
+    """``conv_id``, ``turn`` (from 0), ``role_pred``, ``text`` and ``rendered`` of the turns of transcripts (``conv_id``, ``text``).
+
+    A null text is an empty one and makes one turn with an empty text. Rows with equal ids are one
+    transcript, whose lines of one number stand together. See ``parse_lines``.
+    """
+    source_columns(transcripts, "conv_id", "text")
+    lines = transcripts.select("conv_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("k", "text"))
+    return parse_lines(lines, model, block)
+
+
+def parse_lines(lines: DataFrame, model: Hmm, block: int = BLOCK) -> DataFrame:
+    """The same for lines (``conv_id``, ``k``: their order, not negative, ``text``).
+
+    ``model`` comes from ``train_lines``. The best path through the lines tells where turns begin
+    and who speaks. Equal lines of one number count once. A null id is one of its own. Without a learned role each line is a
+    turn of ``unknown``. Other columns are left out; no rows give no rows.
+    """
+    s, n = len(model.roles), len(model.roles) // 2
+    if not s:
+        said = lines.select("conv_id", F.col("k").cast("long").alias("turn"), F.lit("unknown").alias("role_pred"), "text")
+        return said.withColumn("rendered", rendered(F.col("text"), F.lit("unknown")))
+    lines = materialize(lines.select(F.col("conv_id").alias("conv"), F.col("k").cast("long").alias("k"), F.coalesce("text", F.lit("")).alias("text")).distinct(), "chat-lines")
+    each = lines.select("conv", "k", *emissions(F.col("text"), model)).groupBy("conv", "k").agg(*[F.sum(f"e{r}").alias(f"e{r}") for r in range(s)])
+    path = viterbi(materialize(each.select("conv", "k", F.array(*[f"e{r}" for r in range(s)]).alias("m")), "chat-marks"), s, block, np.vstack([model.step, model.start]))
+    path = path.withColumns({"part": F.floor(F.col("k") / block).cast("long"), "one": (F.col("state") < n).cast("long")})
+    path = materialize(path, "chat-path")
+    # turns are counted by blocks first, so that no conversation is summed up in one task
+    sums = path.groupBy("conv", "part").agg(F.sum("one").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(F.col("conv").alias("c"), F.col("part").alias("p"), F.coalesce(ahead, F.lit(0)).alias("ahead"))
+    inside = F.sum("one").over(Window.partitionBy("conv", "part").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    named = path.select("conv", "k", "part", "state", inside.alias("nth")).join(sums, [F.col("conv").eqNullSafe(F.col("c")), F.col("part") == F.col("p")])
+    role = F.get(F.array(*map(F.lit, model.roles[:n])), F.col("state") % n).alias("role_pred")
+    named = named.select(F.col("conv").alias("c"), F.col("k").alias("at"), (F.col("ahead") + F.col("nth") - 1).alias("turn"), role)
+    said = lines.join(named, [F.col("conv").eqNullSafe(F.col("c")), F.col("k") == F.col("at")])
+    whole = said.groupBy("conv", "turn").agg(F.max("role_pred").alias("role_pred"), F.sort_array(F.collect_list(F.struct("k", "text"))).alias("ls"))
+    text = F.array_join(F.transform("ls", lambda x: x["text"]), "\n")
+    out = whole.select(F.col("conv").alias("conv_id"), "turn", "role_pred", text.alias("text"))
+    return out.withColumn("rendered", rendered(F.col("text"), F.col("role_pred")))
+
+
+#: How the query's transcripts mark speakers, by the id of a conversation; ``{}`` is the name.
+STYLES = ("{}: ", "[{}] ", "**{}:** ", "### {}\n")
+NAMES = {"user": ("User", "Human", "Customer"), "assistant": ("Assistant", "Bot", "Agent"), "system": ("System", "Instructions", "Context")}
+
+
+def as_transcript(turns: DataFrame) -> DataFrame:
+    """``turns`` whose ``text`` has a speaker marker in front, of a style and a name chosen by the conversation's id. Any
+    other role stands as a name of its own; turns without a role have no marker."""
+    of = lambda k: F.pmod(F.xxhash64(F.lit(k), "conv_id"), F.lit(3)).cast("int")
+    name = F.initcap("role")
+    for role, names in NAMES.items():
+        name = F.when(F.col("role") == role, F.get(F.array(*map(F.lit, names)), of(1))).otherwise(name)
+    style = F.get(F.array(*map(F.lit, STYLES)), F.pmod(F.xxhash64(F.lit(2), "conv_id"), F.lit(len(STYLES))).cast("int"))
+    mark = F.coalesce(F.replace(style, F.lit("{}"), name), F.lit(""))
+    return turns.withColumn("text", F.concat(mark, F.coalesce("text", F.lit(""))))
+
+
+def lines_of(turns: DataFrame) -> DataFrame:
+    """The lines of transcripts that hold ``turns`` one after the other: ``conv_id``, ``k``, ``text``.
+
+    Rows of one turn that differ follow each other by text, so that no conversation is brought together. ``k`` has room
+    for 4096 such rows and a million lines each; beyond, lines share a number.
+    """
+    nth = F.dense_rank().over(Window.partitionBy("conv_id", "turn").orderBy("text")) - 1
+    rows = turns.select("conv_id", F.coalesce("turn", F.lit((1 << 30) - 1)).alias("turn"), "text").distinct()
+    at = (F.least(F.greatest(F.col("turn").cast("long"), F.lit(0)), F.lit((1 << 30) - 1)) * 4096 + F.least(nth, F.lit(4095))) * (1 << 20)
+    each = rows.select("conv_id", at.alias("at"), F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    return each.select("conv_id", (F.col("at") + F.least("i", F.lit((1 << 20) - 1))).alias("k"), "text")
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn of ``conversations`` with its recovered role; learned from three conversations in four."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    """The turns of every conversation, recovered from its transcript by the model of three conversations in four.
+
+    A transcript holds all turns one after the other behind speaker markers; where turns begin and
+    who speaks is found by the model alone.
+    """
+    marked = as_transcript(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
     held = held_out_flag(F.col("conv_id"), 4, 2)
-    model = train(turns.where(~held))
-    return recover_roles(turns.select("conv_id", "turn", "text", held.alias("held_out")), model).select(
-        "conv_id", "turn", "held_out", "role_pred", "rendered"
-    )
+    found = parse_lines(lines_of(marked), train_lines(marked.where(~held)))
+    return found.select("conv_id", "turn", held.alias("held_out"), "role_pred", "rendered")

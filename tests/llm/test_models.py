@@ -56,21 +56,48 @@ def test_viterbi_in_blocks(spark, block):
 
 def test_chat_query_and_transcripts(spark, sf):
     turns = read(spark, sf, "conversations")
-    truth = {(r.conv_id, r.turn): r.role for r in turns.collect()}
+    truth = {(r.conv_id, r.turn): (r.role, r.text or "") for r in turns.collect()}
     rows = chat_format.op1_chat_format(spark, sf).collect()
-    assert len(rows) == turns.count()
-    held = [r.role_pred == truth[r.conv_id, r.turn] for r in rows if r.held_out]
-    assert held and sum(held) / len(held) > 0.9
+    held = [truth.get((r.conv_id, r.turn)) == (r.role_pred, r.rendered.split("|>\n", 1)[1].removesuffix("\n<|end|>\n")) for r in rows if r.held_out]
+    assert held and sum(held) / len(held) > 0.95 and abs(len(rows) - len(truth)) < 0.02 * len(truth)
     assert all(r.rendered.startswith(f"<|{r.role_pred}|>\n") and r.rendered.endswith("\n<|end|>\n") for r in rows)
-    text = "System: be kind\nUser: hello there\nhow are you?\n**Assistant:** fine\n### User\nbye"
-    df = chat_format.segments(spark.createDataFrame([(1, text), (2, None), (3, "")], "conv_id long, text string"))
-    got = [(r.role_pred, r.rendered.split("\n")[1]) for r in chat_format.recover_roles(df, chat_format.train(turns)).orderBy("turn").collect()]
-    assert got == [("system", "be kind"), ("user", "hello there"), ("assistant", "fine"), ("user", "bye")]
+
+
+def test_transcripts_against_plain_viterbi(spark, sf):
+    """The path through every transcript is the plain one, whatever the blocks; text outside markers stays."""
+    marked = chat_format.as_transcript(read(spark, sf, "conversations").where("conv_id < 40"))
+    model = chat_format.train_lines(marked)
+    texts = [
+        (1, "System: be kind\nUser: hello there\nhow are you?\n**Assistant:** fine\n### User\nbye\nQuestion: why?"),
+        (2, None), (3, ""), (4, "A\nB\nC"), (5, "User: Assistant: hi"), (6, "user: " + "long line " * 20_000), (None, "Bot: yes\nme: no"),
+    ]
+    df = spark.createDataFrame(texts, "conv_id long, text string")
+    out = {}
+    for r in chat_format.parse_transcripts(df, model, block=2).orderBy("turn").collect():
+        out.setdefault(r.conv_id, []).append((r.role_pred, r.text, r.rendered))
+    lines = df.select("conv_id", chat_format.F.posexplode(chat_format.F.split(chat_format.F.coalesce("text", chat_format.F.lit("")), "\n")).alias("k", "text"))
+    emits = lines.select("conv_id", "k", "text", *chat_format.emissions(chat_format.F.col("text"), model)).orderBy("conv_id", "k").collect()
+    n = len(model.roles) // 2
+    for conv, text in texts:
+        own = [r for r in emits if r.conv_id == conv]
+        path = plain_viterbi(model.start, model.step, [np.array(r[3:], float) for r in own])
+        want = []
+        for state, r in zip(path, own):
+            if state < n or not want:
+                want.append((model.roles[state % n], r.text))
+            else:
+                want[-1] = (want[-1][0], f"{want[-1][1]}\n{r.text}")
+        assert [x[:2] for x in out[conv]] == want
+    assert out[5][0][0] == "user" and out[5][0][2] == "<|user|>\nAssistant: hi\n<|end|>\n"
+    assert "A\nB\nC" in "\n".join(x[1] for x in out[4]) and out[2][0][1] == ""
+    assert chat_format.parse_transcripts(df.limit(0), model).count() == 0
+    none = chat_format.train_lines(marked.limit(0))
+    assert {r.role_pred for r in chat_format.parse_transcripts(df, none).collect()} == {"unknown"}
 
 
 def test_chat_edges(spark):
     schema = "conv_id long, turn long, role string, text string"
-    rows = [(1, 0, "user", "hi?"), (1, 1, "assistant", None), (1, 1, "assistant", None), (None, None, None, ""), (2, None, "user", "x" * 100_000), (3, 5, "user", "q")]
+    rows = [(1, 0, "user", "hi?"), (1, 1, "assistant", None), (1, 1, "assistant", None), (None, None, None, ""), (2, None, "user", "x" * 100_000), (3, 5, "user", "q"), (4, (1 << 63) - 1, "user", "far")]
     df = spark.createDataFrame(rows, schema)
     out = chat_format.recover_roles(df, chat_format.train(df)).collect()
     assert len(out) == len(rows) and all(r.role_pred in ("user", "assistant") for r in out)
