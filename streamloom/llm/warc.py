@@ -3,18 +3,19 @@
 A record is an HTTP response (or a revisit of an equal payload). Its payload goes out in chunked
 transfer framing, and a record above ``SEGMENT`` bytes is split: the first segment carries segment
 number 1, continuation records the origin's id, their numbers and, the last, the total length. The
-text sink ends each record with the two line ends that the format asks for. Reading parses whole
-archive files, whose size the writer bounds, groups continuation records by origin id, orders them
-by number, verifies the total length and decodes the chunks.
+text sink ends each record with the two line ends that the format asks for. Reading unpacks archives
+piece by piece, groups continuation records by origin id, orders them by number, verifies the total
+length and decodes the chunks. What can't be read is told apart with its reason, and reading goes
+on at the next record.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -26,6 +27,8 @@ from .common import materialize, release, shared_dir, source_columns, table, tid
 
 #: Bytes of a record's block before it is split, bytes of a chunk, records a file holds at most.
 SEGMENT, CHUNK, FILE_RECORDS = 32_768, 4096, 1000
+#: Bytes of a header at most.
+HEAD = 1 << 20
 #: Bytes of records that a worker holds before it passes them on.
 SLICE = 4 << 20
 CRLF = "\r\n"
@@ -82,6 +85,8 @@ def records(rid: str, kind: str, page: dict, payload: bytes, segment: int = SEGM
         ("WARC-Page-ID", page["page_id"]),
         ("WARC-Payload-Digest", f"sha1:{digest_of(payload)}"),
         ("WARC-Refers-To-Page", page["refers_to"] if kind == "revisit" else None),
+        ("WARC-Refers-To-Target-URI", page.get("refers_to_url") if kind == "revisit" else None),
+        ("WARC-Refers-To-Date", "2024-01-01T00:00:00Z" if kind == "revisit" else None),
         ("WARC-Profile", PROFILE if kind == "revisit" else None),
         ("Content-Type", "application/http; msgtype=response"),
     ]
@@ -102,25 +107,87 @@ def records(rid: str, kind: str, page: dict, payload: bytes, segment: int = SEGM
 
 
 def _plain(value) -> str:
-    """Header values are one line: other control characters are percent-coded."""
-    return re.sub(r"[\x00-\x1f\x7f%]", lambda m: f"%{ord(m[0]):02X}", str(value)) if isinstance(value, str) else str(value)
+    """Header values are one line: control characters are percent-coded, all else stays as it is."""
+    return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", str(value))
+
+
+def unpacked(content: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """An archive's bytes, piece by piece: gzip members one after the other, or plain text."""
+    if content[:2] != b"\x1f\x8b":
+        yield from (content[i : i + size] for i in range(0, len(content), size))
+        return
+    left = memoryview(content)
+    while len(left):
+        member = zlib.decompressobj(31)
+        fed = left[:size]
+        left = left[size:]
+        while True:
+            try:
+                data = member.decompress(bytes(fed), size)
+            except zlib.error:
+                return  # what can't be unpacked ends the archive; the record it cut is told as broken
+            if data:
+                yield data
+            if member.eof:
+                left = memoryview(content)[len(content) - len(left) - len(member.unused_data) :]
+                break
+            fed = member.unconsumed_tail
+            if fed or len(data) == size:
+                continue
+            if not len(left):
+                return
+            fed, left = left[:size], left[size:]
+
+
+def parse(pieces: Iterator[bytes]) -> Iterator[tuple[dict, bytes, str | None]]:
+    """Header (names lower-cased), block and error of each record; after an error the next record is looked for."""
+    held, done = b"", False
+    more = iter(pieces)
+
+    def fill(n: int) -> bool:
+        nonlocal held, done
+        parts, have = [held], len(held)
+        while have < n and not done:
+            piece = next(more, None)
+            if piece is None:
+                done = True
+            else:
+                parts.append(piece)
+                have += len(piece)
+        held = b"".join(parts)
+        return have >= n
 
-
-def parse(data: bytes) -> Iterator[tuple[dict, bytes]]:
-    """Header (names lower-cased) and block of each record."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split(CRLF)
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
+    while True:
+        fill(8)
+        start = len(held) - len(held.lstrip(b"\r\n"))
+        if start:
+            held = held[start:]
+            continue
+        if not held:
+            return
+        end = held.find(b"\r\n\r\n")
+        while end < 0 and len(held) < HEAD and fill(len(held) + 1):
+            end = held.find(b"\r\n\r\n")
+        lines = held[: max(end, 0)].decode("utf-8", "replace").split(CRLF)
         head = {n.strip().lower(): v.strip() for n, _, v in (x.partition(":") for x in lines[1:])}
-        n = int(head["content-length"])
-        block = data[end + 4 : end + 4 + n]
-        if len(block) != n:
-            raise ValueError("a record ends early")
-        yield head, block
-        at = end + 4 + n + 4
+        size = head.get("content-length", "")
+        if end < 0 or not lines[0].startswith("WARC/") or not size.isascii() or not size.isdigit():
+            known = end >= 0 and lines[0].startswith("WARC/")
+            yield head if known else {}, b"", "no length" if known else "no record"
+        elif not fill(end + 4 + int(size)):
+            yield head, b"", "a record ends early"
+        else:
+            block, held = held[end + 4 : end + 4 + int(size)], held[end + 4 + int(size) :]
+            yield head, block, None
+            continue
+        at = held.find(b"\nWARC/", 1)
+        while at < 0 and not done:
+            held = held[-6:]
+            fill(len(held) + 1)
+            at = held.find(b"\nWARC/", 1)
+        if at < 0:
+            return
+        held = held[at + 1 :]
 
 
 def write(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
@@ -133,7 +200,7 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     source_columns(pages, "page_id", "url", "html")
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     sha = F.sha1(F.encode("html", "UTF-8"))
-    least = rows.groupBy(sha.alias("_sha")).agg(F.min("page_id").alias("first"))
+    least = rows.groupBy(sha.alias("_sha")).agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"))
     least = materialize(least, "warc-first")
     joined = rows.withColumn("_sha", sha).join(least, "_sha").drop("_sha")
     # ids travel as text: pandas would round large ones beside nulls
@@ -143,11 +210,11 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
         number = 0
         for pdf in batches:
             out, size = [], 0
-            for i, url, html, first in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["first"]):
+            for i, url, html, first, first_url in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["first"], pdf["first_url"]):
                 i, first = (None if x is None else int(x) for x in (i, first))
                 rid = str(uuid.uuid5(uuid.NAMESPACE_URL, f"page:{i}/{TaskContext.get().partitionId()}/{number}"))
                 number += 1
-                page = {"page_id": i, "url": url, "refers_to": first}
+                page = {"page_id": i, "url": url, "refers_to": first, "refers_to_url": first_url}
                 out += records(rid, "response" if i == first else "revisit", page, html.encode("utf-8"), segment)
                 size += len(html)
                 if size > SLICE:
@@ -163,31 +230,37 @@ def write(pages: DataFrame, path: str, segment: int = SEGMENT) -> None:
     tidy(pages.sparkSession)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, broken: bool = False) -> DataFrame:
     """Reassembled records: ``page_id``, ``url``, ``record_type``, ``refers_to``, ``payload_bytes``, ``payload_digest``, ``payload``.
 
-    ``payload`` is null for a revisit, whose length and digest the record states; for a response
-    both come from the payload, and a digest or a length that differs from the stated one is an error, as is
-    a missing segment. Only records in segments are shuffled, one group for each; the archives are parsed
-    once for them and once for the others, so that no parsed copy is stored.
+    Responses, resources and revisits are given, other kinds (warcinfo, request, metadata...) are
+    left out. ``payload`` is null for a revisit, whose length and digest the record states; for
+    others both come from the payload. With ``broken`` the records that can't be read are given
+    instead, by ``record_id`` and ``error``: a header or length that is none, an early end, a
+    missing segment, a total length, chunk or digest that differs. Only records in segments are
+    shuffled, one group for each; the archives are parsed once for them and once for the others, so
+    that no parsed copy is stored. No archive gives no rows.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = files.where(F.col("path").rlike(r"\.(gz|warc)$")).select("content")
 
     def parsed(batches: Iterator[pd.DataFrame], segments: bool) -> Iterator[list[tuple]]:
         """Records with or without a segment number, a few megabytes at a time."""
         found, size = [], 0
         for pdf in batches:
             for content in pdf["content"]:
-                for head, block in parse(gzip.decompress(content)):
-                    number, total = int(head.get("warc-segment-number", 0)), head.get("warc-segment-total-length")
-                    if segments != (number > 0):
+                for head, block, error in parse(unpacked(content)):
+                    stated = head.get("warc-segment-number", "")
+                    number = int(stated) if error is None and stated.isdigit() else 0
+                    kind = head.get("warc-type", "")
+                    if segments != (number > 0) or (error is None and kind not in (*KINDS, "continuation")):
                         continue
                     meta = "\n".join(f"{k}: {v}" for k, v in head.items() if k in _KEPT)
                     if segments:
-                        origin = head.get("warc-segment-origin-id", head["warc-record-id"])
-                        found.append((origin, number, int(total) if total else None, meta, block))
+                        origin, total = head.get("warc-segment-origin-id", head.get("warc-record-id")), head.get("warc-segment-total-length", "")
+                        found.append((origin, number, int(total) if total.isdigit() else None, meta, block))
                     else:
-                        found.append(_row(meta, block))
+                        found.append(_row(meta, block, error))
                     size += len(block)
                     if size > SLICE:
                         yield found
@@ -207,15 +280,24 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("number")
         block = b"".join(map(bytes, pdf["block"]))
-        if pdf["number"].tolist() != list(range(1, len(pdf) + 1)) or pdf["total"].iloc[-1] != len(block):
-            raise ValueError(f"record {pdf['origin'].iloc[0]} is not whole")
-        return _frame([_row(pdf["meta"].iloc[0], block)])
+        total = pdf["total"].iloc[-1]
+        error = None
+        if pdf["number"].tolist() != list(range(1, len(pdf) + 1)):
+            error = "a segment is missing or repeats"
+        elif pd.isna(total) or total != len(block):
+            error = f"segments of {len(block)} bytes, stated are {total}"
+        return _frame([_row(pdf["meta"].iloc[0], block, error)])
 
-    return whole.unionByName(parts.groupBy("origin").applyInPandas(joined, _SCHEMA))
+    out = whole.unionByName(parts.groupBy("origin").applyInPandas(joined, _SCHEMA))
+    if broken:
+        return out.where("error IS NOT NULL").select("record_id", "error")
+    return out.where("error IS NULL").drop("record_id", "error")
 
 
-_KEPT = ("warc-type", "warc-target-uri", "warc-page-id", "warc-payload-digest", "warc-refers-to-page")
-_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+#: Kinds of records that hold or state a payload.
+KINDS = ("response", "resource", "revisit")
+_KEPT = ("warc-type", "warc-record-id", "warc-target-uri", "warc-page-id", "warc-payload-digest", "warc-refers-to-page")
+_SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, record_id string, error string"
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
@@ -224,21 +306,29 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names).assign(**whole)
 
 
-def _row(meta: str, block: bytes) -> tuple:
-    head = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in meta.split("\n"))
-    http, _, body = block.partition(b"\r\n\r\n")
-    fields = {n.strip().lower(): v.strip() for n, _, v in (x.partition(":") for x in http.decode("latin-1").split(CRLF)[1:])}
-    stated = head["warc-payload-digest"].removeprefix("sha1:")
-    url = head.get("warc-target-uri")
-    url = re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), url) if url is not None else None
-    number = lambda k: int(head[k]) if k in head else None
-    payload, size, digest = None, int(fields.get("content-length", 0)), stated
-    if head["warc-type"] != "revisit":
-        payload = unchunked(body) if fields.get("transfer-encoding") == "chunked" else body
+def _row(meta: str, block: bytes, error: str | None = None) -> tuple:
+    head = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in meta.split("\n") if line)
+    kind, rid = head.get("warc-type"), head.get("warc-record-id")
+    bad = lambda why: (None, head.get("warc-target-uri"), kind, None, None, None, None, rid, why)
+    if error or kind not in KINDS:
+        return bad(error or f"a record of kind {kind} in segments")
+    stated = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    number = lambda k: int(head[k]) if re.fullmatch(r"-?\d+", head.get(k, "")) else None
+    body, fields = block, {}
+    if kind != "resource":
+        http, _, body = block.partition(b"\r\n\r\n")
+        fields = {n.strip().lower(): v.strip() for n, _, v in (x.partition(":") for x in http.decode("latin-1").split(CRLF)[1:])}
+    payload, length, digest = None, fields.get("content-length", ""), stated
+    size = int(length) if length.isdigit() else None
+    if kind != "revisit":
+        try:
+            payload = unchunked(body) if fields.get("transfer-encoding", "").lower() == "chunked" else body
+        except ValueError as why:
+            return bad(f"chunks: {why}")
         size, digest = len(payload), digest_of(payload)
-        if digest != stated:
-            raise ValueError(f"payload digest {digest} is stated as {stated}")
-    return number("warc-page-id"), url, head["warc-type"], number("warc-refers-to-page"), size, digest, payload
+        if stated and len(stated) == 32 and digest != stated.upper():
+            return bad(f"payload digest {digest} is stated as {stated}")
+    return number("warc-page-id"), head.get("warc-target-uri"), kind, number("warc-refers-to-page"), size, digest, payload, rid, None
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

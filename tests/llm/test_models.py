@@ -233,13 +233,15 @@ def test_chunks_and_cuts(text, size):
     assert b"".join(parts) == data and all(len(p) <= size and p.decode() for p in parts)
     rid = str(uuid.uuid4())
     records = list(warc.records(rid, "response", {"page_id": 3, "url": "u\r\nx", "refers_to": None}, data, size))
-    found = list(warc.parse("".join(r + "\r\n\r\n" for r in records).encode()))
-    assert warc.unchunked(b"".join(b for _, b in found).partition(b"\r\n\r\n")[2]) == data
-    assert len(found) == 1 or found[-1][0]["warc-segment-total-length"] == str(sum(len(b) for _, b in found))
+    archive = "".join(r + "\r\n\r\n" for r in records).encode()
+    found = list(warc.parse(archive[i : i + 7] for i in range(0, len(archive), 7)))
+    assert all(error is None for _, _, error in found) and found[0][0]["warc-target-uri"] == "u%0D%0Ax"
+    assert warc.unchunked(b"".join(b for _, b, _ in found).partition(b"\r\n\r\n")[2]) == data
+    assert len(found) == 1 or found[-1][0]["warc-segment-total-length"] == str(sum(len(b) for _, b, _ in found))
 
 
 def test_archive_round_trip(spark, tmp_path):
-    rows = [(1, "http://a/", "x" * 5000), (2, "http://b/ü%\n", "x" * 5000), (3, None, None), (4, "u", ""), (0, "z", "ä😀\r\n\r\n" * 900), (None, "n", "only"), (2**60 + 1, "big", "own"), (None, "n", "x" * 5000), (2, "http://b/", "x" * 5000)]
+    rows = [(1, "http://a/", "x" * 5000), (2, "http://b/ü%20c%", "x" * 5000), (3, None, None), (4, "u", ""), (0, "z", "ä😀\r\n\r\n" * 900), (None, "n", "only"), (2**60 + 1, "big", "own"), (None, "n", "x" * 5000), (2, "http://b/", "x" * 5000)]
     df = spark.createDataFrame([(*r, "more") for r in rows], "page_id long, url string, html string, payload string")
     warc.write(df, str(tmp_path / "w"), segment=512)
     found = warc.read(spark, str(tmp_path / "w")).collect()
@@ -267,13 +269,53 @@ def test_archive_query(spark, sf):
         assert (got[p.page_id].payload_bytes, got[p.page_id].payload_digest) == (len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode())
 
 
-def test_broken_archives():
-    with pytest.raises(ValueError):
-        list(warc.parse(b"WARC/1.0\r\nContent-Length: 9\r\n\r\nabc"))
+def foreign(*records):
+    """An archive of another writer: (type, id, headers, block)."""
+    out = []
+    for kind, rid, heads, block in records:
+        lines = [f"WARC-Type: {kind}", f"WARC-Record-ID: <{rid}>", *heads, f"Content-Length: {len(block)}"]
+        out.append(("WARC/1.0\r\n" + "\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n")
+    return out
+
+
+def test_foreign_and_broken_archives(spark, tmp_path):
+    import gzip
+
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>hi"
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: Chunked\r\n\r\n3;x=1\r\nabc\r\n0\r\n\r\n"
+    digest = warc.digest_of(b"<p>hi")
+    good = foreign(
+        ("warcinfo", "i", ["Content-Type: application/warc-fields"], b"software: x\r\n"),
+        ("request", "q", ["WARC-Target-URI: http://a/b%20c"], b"GET /b%20c HTTP/1.1\r\n\r\n"),
+        ("response", "1", ["WARC-Target-URI: http://a/b%20c"], page),
+        ("response", "2", ["WARC-Target-URI: http://a/2", f"WARC-Payload-Digest: sha1:{digest}"], page),
+        ("metadata", "m", [], b"k: v"),
+        ("resource", "3", ["WARC-Target-URI: file:///x"], b"raw bytes"),
+        ("response", "4", ["WARC-Target-URI: http://a/4"], chunked),
+        ("response", "5", ["WARC-Target-URI: http://a/5"], b"HTTP/1.1 200 OK\r\n\r\n" + b"y" * 3_000_000),
+    )
+    bad = foreign(
+        ("response", "b1", [f"WARC-Payload-Digest: sha1:{digest}"], page + b"!"),
+        ("response", "b2", [], chunked.replace(b"3;", b"9;")),
+        ("response", "b3", ["WARC-Segment-Number: 1"], page),
+        ("continuation", "b4", ["WARC-Segment-Origin-ID: <b3>", "WARC-Segment-Number: 3", "WARC-Segment-Total-Length: 99"], b"z"),
+    )
+    (tmp_path / "one.warc.gz").write_bytes(b"".join(map(gzip.compress, good)))
+    (tmp_path / "two.warc").write_bytes(b"junk\r\n" + bad[0] + good[2] + bad[1] + b"WARC/1.0\r\nContent-Length: x\r\n\r\n" + bad[2] + bad[3] + good[5] + good[3][:-9])
+    rows = warc.read(spark, str(tmp_path)).collect()
+    assert sorted((r.url, r.record_type, r.payload_bytes) for r in rows) == sorted([
+        ("http://a/b%20c", "response", 5), ("http://a/2", "response", 5), ("file:///x", "resource", 9), ("http://a/4", "response", 3),
+        ("http://a/5", "response", 3_000_000), ("http://a/b%20c", "response", 5), ("file:///x", "resource", 9),
+    ])
+    assert all(r.payload_digest == warc.digest_of(bytes(r.payload)) for r in rows)
+    broken = sorted((r.record_id or "", r.error) for r in warc.read(spark, str(tmp_path), broken=True).collect())
+    assert [x for x, _ in broken] == ["", "", "<2>", "<b1>", "<b2>", "<b3>"] and all(e for _, e in broken)
+    assert list(warc.parse(iter([b"WARC/1.0\r\nContent-Length: 9\r\n\r\nabc"])))[0][2] == "a record ends early"
     with pytest.raises(ValueError):
         warc.unchunked(b"5\r\nabc\r\n0\r\n\r\n")
 
 
+
 # ---- mixing ----------------------------------------------------------------------------------
 def test_targets():
     assert mixing.targets({}) == {}
