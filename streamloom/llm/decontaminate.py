@@ -1,8 +1,10 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming blocks, exact check.
 
-DataFrame and SQL functions only. Words are runs of letters and digits, lower-cased; a shingle is
-five words in a row, and a shorter text is one shingle. A window and an item are similar if their
-multisets of shingles are: the sum of the smaller counts over that of the larger, 0.8 or more.
+DataFrame and SQL functions only. Words are runs of letters and digits, lower-cased; of scripts
+without spaces each character is a word. A shingle is five words in a row, and an item of fewer
+words is one shingle of all of them. A window and an item are similar if their multisets of shingles
+are: the sum of the smaller counts over that of the larger, 0.8 or more. Only windows that hold
+enough shingles of items of their size are made: no other can be similar.
 """
 
 from __future__ import annotations
@@ -21,8 +23,14 @@ RADIUS, BLOCKS = 17, 6
 BROADCAST_SHINGLES = 2_000_000
 
 
+#: Scripts that are written without spaces.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
+
+
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    lower = F.lower(text)
+    apart = F.when(lower.rlike(UNSPACED), F.regexp_replace(lower, f"({UNSPACED})", " $1 ")).otherwise(lower)
+    return F.filter(F.split(apart, r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
 def shingles(word_list: Column, width: int = WIDTH) -> Column:
@@ -79,10 +87,21 @@ def multiset_similarity(x: Column, y: Column) -> Column:
 
 
 def items_of(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``item_id``, ``n`` (shingles), ``hs``; items without a word can't be found and are left out."""
-    return benchmark.select("item_id", shingles(words(F.col("text")), width).alias("hs")).select(
-        "item_id", F.size("hs").alias("n"), "hs"
-    ).where("n > 0")
+    """``key``, ``item_id``, ``words`` (number), ``n`` (shingles), ``hs``; items without a word can't be found and are left out.
+
+    The key tells items apart by id and text, so that null and repeated ids are items of their own.
+    """
+    each = benchmark.select("item_id", "text", words(F.col("text")).alias("w")).where(F.size("w") > 0).distinct()
+    key = F.xxhash64(F.col("item_id").isNull(), "item_id", "text").alias("key")
+    return each.select(key, "item_id", F.size("w").alias("words"), shingles(F.col("w"), width).alias("hs")).select(
+        "key", "item_id", "words", F.size("hs").alias("n"), "hs"
+    )
+
+
+def sized(parts: DataFrame) -> DataFrame:
+    """``parts``, to be broadcast if it has ``BROADCAST_SHINGLES`` rows or fewer."""
+    parts = materialize(parts, "item-shingles")
+    return F.broadcast(parts) if parts.count() <= BROADCAST_SHINGLES else parts
 
 
 def ends(at: Column, n: Column, similarity: float) -> Column:
@@ -99,24 +118,20 @@ def ends(at: Column, n: Column, similarity: float) -> Column:
 
 
 def windows(docs: DataFrame, items: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """Item-sized windows of each document that has a shingle of the item: those aligned with it there and ``ends``.
+    """Item-sized windows of each document that hold enough shingles of the items of that size, see ``ends``.
 
-    A window that is similar to an item shares shingles with it, and the first of the best ends at one.
+    A shingle counts once for each size of the items that have it, however many they are.
     Columns: ``doc_id``, ``th`` (text hash), ``start`` (word), ``n`` and ``win`` (shingle hashes).
     """
-    parts = items.select("item_id", "n", F.posexplode("hs").alias("off", "h")).select("h", "off", "n").distinct()
-    parts = materialize(parts, "item-shingles")
-    if parts.count() <= BROADCAST_SHINGLES:
-        parts = F.broadcast(parts)
+    parts = sized(items.select("n", F.explode("hs").alias("h")).distinct())
     keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     shared = (
         keyed.select("doc_id", "th", F.posexplode(shingles(words(F.col("text")), width)).alias("pos", "h"))
         .join(parts, "h")
         .groupBy("doc_id", "th", "n")
-        .agg(F.collect_set(F.greatest(F.col("pos") - F.col("off"), F.lit(0))).alias("aligned"), F.array_sort(F.collect_set("pos")).alias("pos"))
+        .agg(F.array_sort(F.collect_set("pos")).alias("pos"))
     )
-    starts = F.array_union("aligned", ends(F.col("pos"), F.col("n"), similarity))
-    found = shared.select("doc_id", "th", "n", F.explode(starts).alias("start"))
+    found = shared.select("doc_id", "th", "n", F.explode(F.array_distinct(ends(F.col("pos"), F.col("n"), similarity))).alias("start"))
     places = materialize(
         found.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_list(F.struct("start", "n")).alias("at")),
         "windows-at",
@@ -131,18 +146,39 @@ def windows(docs: DataFrame, items: DataFrame, width: int = WIDTH, similarity: f
     return rows.select("doc_id", "th", F.explode(cut).alias("w")).select("doc_id", "th", "w.*")
 
 
+def short_hits(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame | None:
+    """Where items of fewer than ``width`` words stand, word by word: ``doc_id``, ``th``, ``key``, ``start``; null if there is no such item."""
+    sizes = sorted(r[0] for r in items.where(F.col("words") < width).select("words").distinct().collect())
+    if not sizes:
+        return None
+    parts = sized(items.where(F.col("words") < width).select("key", "words", F.get("hs", F.lit(0)).alias("h")))
+
+    def runs(w: Column) -> Column:
+        some = lambda n: F.transform(
+            F.filter(F.sequence(F.lit(0), F.size(w)), lambda i: i <= F.size(w) - n),
+            lambda i: F.struct(F.lit(n).alias("words"), i.alias("start"), F.xxhash64(F.array_join(F.slice(w, i + 1, n), " ")).alias("h")),
+        )
+        return F.concat(*[some(n) for n in sizes])
+
+    cut = F.explode(bound(words(F.col("text")), runs)).alias("r")
+    each = docs.select("doc_id", F.xxhash64("text").alias("th"), cut).select("doc_id", "th", "r.*")
+    return each.join(parts, ["words", "h"]).groupBy("doc_id", "th", "key").agg(F.min("start").alias("start"))
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, radius: int = RADIUS, blocks: int = BLOCKS
 ) -> DataFrame:
-    """``doc_id``, ``th``, ``item_id``, ``start_word``, ``similarity`` of each item that a document holds.
+    """``doc_id``, ``th`` (text hash), ``item_id``, ``start_word``, ``similarity`` of each item that a document holds.
 
     The best window of each document and item; ties go to the first. Null and empty texts hold
-    nothing, and a text below five words holds an item only if it is that item. Repeated rows
-    count once, repeated items each. Empty tables give no rows.
+    nothing, texts may be of any length, an item below five words is found where all its words
+    stand in a row. Repeated rows count once; items with a null id or an id that repeats with
+    another text are items of their own. Other columns are left out. Empty tables give no rows.
     """
     source_columns(docs, "doc_id", "text")
     source_columns(benchmark, "item_id", "text")
-    items = materialize(items_of(benchmark, width).withColumn("fp", simhash(F.col("hs"))), "items")
+    every = materialize(items_of(benchmark, width).withColumn("fp", simhash(F.col("hs"))), "items")
+    items = every.where(F.col("words") >= width)
     wins = windows(docs, items, width, similarity)
     wins = materialize(
         wins.select("*", F.xxhash64("win").alias("c1"), F.xxhash64(F.lit(2), "win").alias("c2")), "windows"
@@ -151,26 +187,28 @@ def leaks(
     texts = materialize(texts.withColumn("fp", simhash(F.col("win"))), "window-texts")
     named = lambda fp: F.posexplode(F.array(*block_values(F.col(fp), blocks))).alias("block", "value")
     steps = F.array(*[F.array(*[F.lit(v).cast("long") for v in flips(n, radius // blocks)]) for _, n in block_bounds(blocks)])
-    index = items.select("item_id", "n", F.col("fp").alias("ifp"), named("fp")).select(
-        "item_id", "n", "ifp", "block", "value", F.explode(F.get(steps, F.col("block"))).alias("step")
+    index = items.select("key", "n", F.col("fp").alias("ifp"), named("fp")).select(
+        "key", "n", "ifp", "block", "value", F.explode(F.get(steps, F.col("block"))).alias("step")
     )
-    index = index.select("item_id", "n", "ifp", "block", F.col("value").bitwiseXOR(F.col("step")).alias("value"))
+    index = index.select("key", "n", "ifp", "block", F.col("value").bitwiseXOR(F.col("step")).alias("value"))
     asked = texts.select("c1", "c2", "n", "fp", named("fp"))
     near = (
         asked.join(index, ["n", "block", "value"])
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= radius)
-        .select("c1", "c2", "n", "item_id")
+        .select("c1", "c2", "n", "key")
         .distinct()
     )
-    full = near.join(texts.select("c1", "c2", "n", "win"), ["c1", "c2", "n"]).join(items.select("item_id", "hs"), "item_id")
-    same = full.select("c1", "c2", "n", "item_id", multiset_similarity(F.col("win"), F.col("hs")).alias("similarity"))
+    full = near.join(texts.select("c1", "c2", "n", "win"), ["c1", "c2", "n"]).join(items.select("key", "hs"), "key")
+    same = full.select("c1", "c2", "n", "key", multiset_similarity(F.col("win"), F.col("hs")).alias("similarity"))
     same = materialize(same.where(F.col("similarity") >= similarity), "window-hits")
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best")
     hits = wins.select("doc_id", "th", "start", "n", "c1", "c2").join(same, ["c1", "c2", "n"])
-    return (
-        hits.groupBy("doc_id", "th", "item_id").agg(best)
-        .select("doc_id", "th", "item_id", (-F.col("best.back")).alias("start_word"), F.col("best.similarity").alias("similarity"))
-    )
+    found = hits.groupBy("doc_id", "th", "key").agg(best)
+    found = found.select("doc_id", "th", "key", (-F.col("best.back")).alias("start_word"), F.col("best.similarity").alias("similarity"))
+    short = short_hits(docs, every, width)
+    if short is not None:
+        found = found.unionByName(short.select("doc_id", "th", "key", F.col("start").alias("start_word"), F.lit(1.0).alias("similarity")))
+    return found.join(every.select("key", "item_id"), "key").select("doc_id", "th", "item_id", "start_word", "similarity")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -246,37 +246,42 @@ def test_bit_maps_never_rule_out_similar_lines(spark):
 
 
 # ---- decontamination -------------------------------------------------------------------------
-def brute_leaks(docs, items, width=5):
-    words = lambda t: [w for w in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if w]
+def brute_leaks(docs, items, width=5, starts=False):
+    """Similarity of the best window of each document and item, by trying them all; with ``starts`` its first word as well."""
+    from collections import Counter
 
-    def cut(t):
-        w = words(t)
-        return [tuple(w[i : i + width]) for i in range(len(w) - width + 1)] if len(w) >= width else [tuple(w)] if w else []
+    def words(t):
+        spaced = regex.sub(r"([\p{Han}\p{Hiragana}\p{Katakana}])", r" \1 ", (t or "").lower())
+        return [w for w in regex.split(r"[^\p{L}\p{N}]+", spaced) if w]
 
-    from collections import Counter
+    def cut(w, k):
+        return [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
 
     out = {}
     for i, text in docs:
-        h = cut(text)
         for k, item in items:
-            s = cut(item)
+            own = words(item)
+            k_width = min(width, len(own))
+            s, h = cut(own, k_width) if own else [], cut(words(text), k_width) if own else []
             if not s or not set(s) & set(h):
                 continue
-            best = 0.0
+            best, first = 0.0, 0
             for at in range(max(1, len(h) - len(s) + 1)):
                 w = Counter(h[at : at + len(s)])
                 common = sum((w & Counter(s)).values())
-                best = max(best, common / (sum(w.values()) + len(s) - common))
+                now = common / (sum(w.values()) + len(s) - common)
+                if now > best:
+                    best, first = now, at
             if best >= 0.8:
-                out[i, k] = round(best, 6)
+                out[i, k] = (round(best, 6), first) if starts else round(best, 6)
     return out
 
 
 def test_decontamination_query(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
-    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.op3_decontamination(spark, sf).collect()}
-    assert got == brute_leaks(docs, items)
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in decontaminate.op3_decontamination(spark, sf).collect()}
+    assert got == brute_leaks(docs, items, starts=True)
 
 
 def test_decontamination_edges(spark):
@@ -294,13 +299,35 @@ def test_decontamination_edges(spark):
     found = decontaminate.leaks(df, bench)
     got = {(r.doc_id, r.item_id): round(r.similarity, 6) for r in found.collect()}
     assert got == brute_leaks(docs, items)
-    assert {i for i, _ in got} == {1, 2, 3, 8, 10, 11}
+    assert {i for i, _ in got} == {1, 2, 3, 8, 9, 10, 11}
     kept = decontaminate.decontaminate(df, bench)
-    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 7, 9]
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [4, 5, 6, 7]
     assert decontaminate.decontaminate(df, bench.where("item_id < 0")).count() == len(docs)
     assert decontaminate.leaks(df.where("doc_id < 0"), bench).count() == 0
     repeated = df.unionByName(df)
-    assert decontaminate.decontaminate(repeated, bench).count() == 10
+    assert decontaminate.decontaminate(repeated, bench).count() == 8
+
+
+def test_short_unspaced_null_and_repeated_items(spark):
+    docs = [(1, "it holds the secret pass phrase here"), (2, "secret pass"), (3, "前の文。漢字の問題がここにあります。後の文"), (4, "nothing"), (None, "word " * 9 + "secret pass phrase")]
+    items = [(1, "Secret, pass phrase!"), (2, "漢字の問題がここにあります"), (None, "nothing"), (1, "word word word word word word word word"), (5, "問題")]
+    found = decontaminate.leaks(docs_of(spark, *docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {(d, i, *v) for n, (i, t) in enumerate(items) for (d, _), v in brute_leaks(docs, [(i, t)], starts=True).items()}
+    assert {(r.doc_id, r.item_id, round(r.similarity, 6), r.start_word) for r in found} == want
+    assert {(d, i) for d, i, *_ in want} == {(1, 1), (3, 2), (3, 5), (4, None), (None, 1)}
+
+
+def test_recall_of_the_radius():
+    """Pairs of shingle sets just over 0.8 lie within the radius but for one in a hundred at most."""
+    rng, hit, total = np.random.default_rng(3), 0, 400
+    powers = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    fold = lambda hs: ((hs[:, None] & powers) != 0).sum(0) * 2 > len(hs)
+    for _ in range(total):
+        n = int(rng.integers(15, 200))
+        common = int(np.ceil(n * 1.6 / 1.8))
+        x, y, z = (rng.integers(0, 1 << 63, k, dtype=np.uint64) * 2 + rng.integers(0, 2, k, dtype=np.uint64) for k in (common, n - common, n - common))
+        hit += (fold(np.concatenate([x, y])) != fold(np.concatenate([x, z]))).sum() <= decontaminate.RADIUS
+    assert hit >= 0.99 * total
 
 
 def test_best_window_between_two_alignments(spark):
