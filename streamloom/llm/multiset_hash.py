@@ -118,14 +118,17 @@ def likeness(a: Fingerprint, b: Fingerprint) -> float:
 
 
 def _runs(docs: DataFrame, goal: int) -> DataFrame:
-    """``docs`` with ``run``: ranges of ids of about ``goal`` rows, from the largest id down; null ids come last.
+    """``docs`` with ``run``: ranges of ids, from the largest id down; null ids come last, equal ids stay together.
 
-    The driver gets the bounds only, and equal ids stay together.
+    There are four ranges for each shuffle partition, fewer if they would have less than ``goal``
+    rows. The driver gets the least id of each range and nothing else; ids alone are shuffled for it.
     """
+    spark = docs.sparkSession
     n = docs.count()
-    wanted = max(1, min(100_000, -(-n // goal)))
-    cuts = docs.approxQuantile("doc_id", [i / wanted for i in range(1, wanted)], 0.1 / wanted) if wanted > 1 else []
-    cuts = sorted({int(c) for c in cuts})
+    wanted = max(1, min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // goal)))
+    ids = docs.select("doc_id").where("doc_id IS NOT NULL").repartitionByRange(wanted, "doc_id")
+    least = ids.groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("least")) if wanted > 1 else ids.limit(0).withColumnRenamed("doc_id", "least")
+    cuts = sorted(r["least"] for r in least.collect())[1:]
     if not cuts:
         return docs.withColumn("run", F.when(F.col("doc_id").isNull(), 1).otherwise(0).cast("long"))
     bounds = np.array(cuts, np.int64)
@@ -162,9 +165,10 @@ def neighbours(docs: DataFrame) -> DataFrame:
     In the edited text the last third of the code points gives way to the first as many (or all)
     of the next document, by descending id, after the last the first. A null text is empty, an only
     document follows itself, rows with equal id follow each other by text hash, a null id comes
-    last. No rows give no rows.
+    last. Texts may be of any length; other columns are left out. No rows give no rows.
     """
     source_columns(docs, "doc_id", "text")
+    docs = docs.select("doc_id", "text")
 
     def row(doc, after) -> tuple:
         (i, text, own), (_, other, theirs) = doc, after
@@ -176,6 +180,9 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
+    def frame(out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=names).assign(doc_id=pd.array([r[0] for r in out], "Int64"))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = None
         for pdf in batches:
@@ -186,8 +193,10 @@ def neighbours(docs: DataFrame) -> DataFrame:
                 if last is not None and last[0] == number:
                     out.append(row(last[1], now))
                 last = None if halo else (number, now)
-            made = pd.DataFrame(out, columns=names)
-            yield made.assign(doc_id=pd.array([r[0] for r in out], "Int64"))
+                if len(out) == 1000:
+                    yield frame(out)
+                    out = []
+            yield frame(out)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     # ids travel as text: pandas would round large ones beside nulls
