@@ -1,16 +1,20 @@
 """Log-bilinear language model: NCE training in numpy, normalised token log-probabilities.
 
-The most frequent tokens are classes of their own, all others fall into classes by the hash of
-their last two bytes. The neural model predicts the class of a token from the classes of the two
-before it, as the product of a context vector (bilinear in position and class) with the class's
-output vector plus a bias; within its class a token has its smoothed share of the counts. Training
-takes expected gradients over the counts of all class trigrams of the whole training text, of which
-no sample is drawn; the table of counts has a bound at any input. Scoring takes the softmax over all classes for all contexts in batched matrix products,
-once a worker, and looks tokens up in it.
+The softmax has two factors. The most frequent tokens are classes of their own, all others fall
+into classes by the hash of their last two bytes. The first factor predicts the class of a token
+from the classes of the two before it, as the product of a context vector (bilinear in position and
+class) with the class's output vector plus a bias. The second predicts the token within its class,
+from the class before it, for every token that occurs ``LEARNT`` times or more, so its vocabulary
+grows with the text; what is left of a class is one more output, and a token of it has its smoothed
+share of the counts. Training takes expected gradients over the counts of all class trigrams and of
+all tokens after classes of the whole training text, of which no sample is drawn. Scoring takes
+both softmaxes for all contexts in batched matrix products, once a worker, and looks tokens up.
 """
 
 from __future__ import annotations
 
+import sys
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -33,6 +37,8 @@ SMOOTH = 0.1
 SINGLE, HASHED = 64, 64
 #: Tokens with counts that every worker holds; rarer ones meet their counts in a join.
 FREQUENT = 131_072
+#: Occurrences from which a token has an output vector of its own, and the most such tokens.
+LEARNT, MOST_LEARNT = 200, 16_384
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -63,12 +69,18 @@ def count_tokens(texts: DataFrame) -> DataFrame:
 
 
 class Lexicon:
-    """Frequent tokens with class and log count; all other tokens have the class of their hash."""
+    """Frequent tokens with class, output and log count; all other tokens have the class of their hash.
 
-    def __init__(self, listed: list[bytes], counts: np.ndarray, single: int = SINGLE):
+    Outputs of the second factor are the ``learnt`` tokens behind the single ones, then what is left of each hashed class.
+    """
+
+    def __init__(self, listed: list[bytes], counts: np.ndarray, learnt: int = 0, single: int = SINGLE, hashed: int = HASHED):
         self.at = {w: i for i, w in enumerate(listed)}
         self.log_count = np.log10(np.append(counts, 0.0) + SMOOTH)  # the last is for tokens not listed
         self.cls = np.array([i if i < single else hashed_class(w) for i, w in enumerate(listed)] + [0], np.int64)
+        self.single, self.own = single, max(0, learnt - single)
+        self.outputs = self.own + hashed
+        self.home = np.concatenate([self.cls[single : single + self.own], np.arange(single, single + hashed)])  # class of each output
 
     def places(self, words: list[bytes]) -> np.ndarray:
         get = self.at.get
@@ -80,34 +92,98 @@ class Lexicon:
             out[i] = hashed_class(words[i])
         return out
 
+    def output(self, at: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        """The output of each token within its class; -1 for a class of one token."""
+        out = np.where((at >= self.single) & (at < self.single + self.own), at - self.single, self.own + cls - self.single)
+        return np.where(cls < self.single, -1, out)
+
 
-def class_trigrams(texts: DataFrame, lexicon_of, classes: int) -> DataFrame:
-    """Counts of (two classes before, class) over all texts; the start counts as two ends."""
+def gram_counts(texts: DataFrame, lexicon_of, classes: int) -> DataFrame:
+    """Counts of (two classes before, class) over all texts, the start counting as two ends; behind them those of
+    (class before, output) for tokens of classes of many."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex = lexicon_of()
         end = int(lex.cls[lex.at[END]]) if END in lex.at else hashed_class(END)
-        sums = np.zeros(classes**3, np.int64)
-        held: list[np.ndarray] = []
+        tri, pair = np.zeros(classes**3, np.int64), np.zeros(classes * lex.outputs, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
+
+        def count() -> None:
+            c3, c2 = (np.concatenate(x) for x in zip(*held))
+            np.add(tri, np.bincount(c3, minlength=len(tri)), out=tri)
+            np.add(pair, np.bincount(c2, minlength=len(pair)), out=pair)
+
         for pdf in batches:
             for text in pdf["text"]:
                 words = tokens(text)
-                c = np.concatenate([[end, end], lex.classes(words, lex.places(words))])
-                held.append((c[:-2] * classes + c[1:-1]) * classes + c[2:])
+                at = lex.places(words)
+                c = np.concatenate([[end, end], lex.classes(words, at)])
+                o = lex.output(at, c[2:])
+                held.append(((c[:-2] * classes + c[1:-1]) * classes + c[2:], (c[1:-1] * lex.outputs + o)[o >= 0]))
                 size += len(words)
                 if size > 2_000_000:
-                    sums += np.bincount(np.concatenate(held), minlength=len(sums))
+                    count()
                     held, size = [], 0
         if held:
-            sums += np.bincount(np.concatenate(held), minlength=len(sums))
-        at = np.nonzero(sums)[0]
-        yield pd.DataFrame({"gram": at, "c": sums[at]})
+            count()
+        for start, sums in ((0, tri), (len(tri), pair)):
+            at = np.nonzero(sums)[0]
+            yield pd.DataFrame({"gram": at + start, "c": sums[at]})
 
     each = texts.select("text").mapInPandas(run, "gram long, c long")
     return each.groupBy("gram").agg(F.sum("c").alias("c"))
 
 
+class Within:
+    """Second factor: score(o | b) = R[b] . Q[o] + bias[o], normalised over the outputs of o's class."""
+
+    def __init__(self, classes: int, home: np.ndarray, dim: int = 16, seed: int = 2):
+        rng = np.random.default_rng(seed)
+        self.home = home
+        self.R = rng.normal(0, 0.1, (classes, dim)).astype(np.float32)
+        self.Q = rng.normal(0, 0.1, (len(home), dim)).astype(np.float32)
+        self.bias = np.zeros(len(home), np.float32)
+
+    def fit(self, seen: np.ndarray, steps: int = 60, noise: float = 8.0, rate: float = 0.1) -> None:
+        """NCE by expected gradients over all counts ``seen`` (classes before x outputs); noise is an output's share of its class; Adagrad."""
+        members = np.bincount(self.home, seen.sum(0), minlength=len(self.R))
+        share = (seen.sum(0) + 0.5) / (members[self.home] + 0.5)
+        self.bias = np.log(share).astype(np.float32)
+        if not seen.sum():
+            return
+        kq = (noise * share).astype(np.float32)
+        order = np.argsort(self.home, kind="stable")
+        starts = np.searchsorted(self.home[order], np.arange(len(self.R) + 1))
+        total = np.zeros_like(seen, np.float32)  # how often the class of an output follows
+        for k in range(len(self.R)):
+            own = order[starts[k] : starts[k + 1]]
+            if len(own):
+                total[:, own] = seen[:, own].sum(1, keepdims=True)
+        # contexts weigh alike by the root of their counts, so that rare ones are learnt as well
+        weight = (1 / np.sqrt(seen.sum(1, keepdims=True) + 1)).astype(np.float32)
+        data, fake = (seen * weight).astype(np.float32), total * weight * kq
+        sq = {k: np.full_like(getattr(self, k), 1e-3) for k in ("R", "Q", "bias")}
+        for step in range(steps):
+            z = np.clip(self.R @ self.Q.T + self.bias, -30, 30)
+            is_data = 1 / (1 + kq * np.exp(-z))
+            g = data * (1 - is_data) - fake * is_data
+            lr = rate * (1 - step / steps) + 0.005
+            for name, grad in (("R", g @ self.Q), ("Q", g.T @ self.R), ("bias", g.sum(0))):
+                sq[name] += grad * grad
+                setattr(self, name, getattr(self, name) + np.float32(lr) * grad / np.sqrt(sq[name]))
+
+    def table(self) -> np.ndarray:
+        """log10 of the probability of each output within its class, a row for each class before."""
+        z = self.R @ self.Q.T + self.bias
+        out = np.empty_like(z)
+        for k in np.unique(self.home):
+            own = np.nonzero(self.home == k)[0]
+            part = z[:, own] - z[:, own].max(1, keepdims=True)
+            out[:, own] = (part - np.log(np.exp(part).sum(1, keepdims=True))) / np.log(10)
+        return out
+
+
 class LogBilinear:
     """Class model: score(c | a, b) = (C0 R[a] + C1 R[b] + d) . Q[c] + bias[c]."""
 
@@ -190,17 +266,26 @@ def score(docs: DataFrame, training: DataFrame, seed: int = 1, frequent: int = F
     rank = sorted(range(len(listed)), key=lambda i: (-counts[i], listed[i]))
     listed, counts = [listed[i] for i in rank], counts[rank].astype(np.int64)
     del top, rank
-    shared = spark.sparkContext.broadcast((listed, counts))
-    lexicon_of = lambda: Lexicon(*shared.value)
+    name = uuid.uuid4().hex
+    learnt = min(int((counts >= LEARNT).sum()), MOST_LEARNT)
+    shared = spark.sparkContext.broadcast((listed, counts, learnt))
+    lexicon_of = lambda: _kept(("lexicon", name), lambda: Lexicon(*shared.value))
     classes = SINGLE + HASHED
-    tri = class_trigrams(training, lexicon_of, classes).toArrow()
+    home = Lexicon(listed[:learnt], counts[:learnt], learnt).home
+    tri = gram_counts(training, lexicon_of, classes).toArrow()
     grams, sums = tri["gram"].to_numpy(), tri["c"].to_numpy()
     rank = np.argsort(grams)
+    grams, sums = grams[rank].astype(np.int64), sums[rank].astype(np.float64)
+    cut = int(np.searchsorted(grams, classes**3))
     model = LogBilinear(classes, seed=seed)
-    model.fit(grams[rank].astype(np.int64), sums[rank].astype(np.float64), steps)
-    del tri, grams, sums, rank
-    mass = _class_mass(vocab, listed[:SINGLE])
-    params = spark.sparkContext.broadcast((model.R, model.Q, model.C, model.bias, np.log10(mass)))
+    model.fit(grams[:cut], sums[:cut], steps)
+    seen = np.zeros(classes * len(home))
+    seen[grams[cut:] - classes**3] = sums[cut:]
+    within = Within(classes, home, seed=seed + 1)
+    within.fit(seen.reshape(classes, len(home)))
+    del tri, grams, sums, rank, seen
+    mass = _class_mass(vocab, listed[:SINGLE], listed[SINGLE:learnt], counts[SINGLE:learnt])
+    params = spark.sparkContext.broadcast((model.R, model.Q, model.C, model.bias, within.R, within.Q, within.bias, np.log10(mass)))
     docs = docs.drop("n_tokens", "n_known", "train_tokens", "base_score", "score")
     others = [c for c in docs.columns if c != "text"]
     docs = docs.select(*([F.struct(*[F.col(f"`{c}`") for c in others]).alias("row")] if others else []), "text")
@@ -208,24 +293,18 @@ def score(docs: DataFrame, training: DataFrame, seed: int = 1, frequent: int = F
     base_norm = float(np.log10(n_all + SMOOTH * (n_kinds + 1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = lexicon_of()
-        net = LogBilinear(classes)
-        net.R, net.Q, net.C, net.bias, log_mass = params.value
-        logp = net.table().ravel() if classes else None
-        end = int(lex.cls[lex.at[END]]) if END in lex.at else hashed_class(END)
+        scorer = _kept(("scorer", name), lambda: Scorer(lexicon_of(), params.value))
         uid = TaskContext.get().partitionId() << 33
         digest = xxhash.xxh64_intdigest
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
                 words = tokens(text)
-                at = lex.places(words)
-                c = np.concatenate([[end, end], lex.classes(words, at)])
-                fixed = float(logp[(c[:-2] * classes + c[1:-1]) * classes + c[2:]].sum(dtype=np.float64) - log_mass[c[2:]].sum())
+                at, fixed, rest = scorer.parts(words)
                 rare = np.nonzero(at < 0)[0]
-                listed_logs = float(lex.log_count[at[at >= 0]].sum())
+                logs = scorer.lex.log_count[at]
                 hashes = np.array([digest(words[i], 42) for i in rare], np.uint64).view(np.int64)
-                rows.append((uid, len(words), len(words) - len(rare), listed_logs, fixed, hashes))
+                rows.append((uid, len(words), len(words) - len(rare), float(logs[at >= 0].sum()), float(fixed.sum() + logs[rest & (at >= 0)].sum()), hashes))
                 uid += 1
             kinds = {"_uid": pa.int64(), "_n": pa.int64(), "_known": pa.int64(), "_logs": pa.float64(), "_fixed": pa.float64(), "_rare": pa.list_(pa.int64())}
             made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds.values())]
@@ -235,21 +314,62 @@ def score(docs: DataFrame, training: DataFrame, seed: int = 1, frequent: int = F
     extra = "_uid long, _n long, _known long, _logs double, _fixed double, _rare array<long>"
     parts = materialize(docs.mapInArrow(run, f"{named}, {extra}" if named else extra), "lm-parts")
     rare = parts.select("_uid", F.explode("_rare").alias("hash"))
-    found = rare.join(vocab.where(F.col("c") < least).select("hash", "c") if least is not None else vocab.select("hash", "c"), "hash", "left")
+    # a word that many texts repeat meets its count once for each task, not once for each text
+    wanted = rare.select("hash").distinct()
+    known = vocab.where(F.col("c") < least) if least is not None else vocab
+    known = materialize(wanted.join(known.select("hash", "c"), "hash"), "lm-rare")
     logs = F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(SMOOTH))
-    sums = found.groupBy("_uid").agg(F.sum(logs).alias("_more"), F.count("c").alias("_also"))
+    sums = rare.join(known, "hash", "left").groupBy("_uid").agg(F.sum(logs).alias("_more"), F.count("c").alias("_also"))
     whole = parts.drop("_rare").join(sums, "_uid", "left")
-    logs = F.col("_logs") + F.coalesce("_more", F.lit(0.0))
+    more = F.coalesce("_more", F.lit(0.0))
     return whole.select(
         *(["row.*"] if others else []),
         F.col("_n").alias("n_tokens"),
         (F.col("_known") + F.coalesce("_also", F.lit(0))).alias("n_known"),
         F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        (logs - F.col("_n") * F.lit(base_norm)).alias("base_score"),
-        (logs + F.col("_fixed")).alias("score"),
+        (F.col("_logs") + more - F.col("_n") * F.lit(base_norm)).alias("base_score"),
+        (F.col("_fixed") + more).alias("score"),
     )
 
 
+class Scorer:
+    """Both softmaxes as tables, and the parts of a text's score that need no count."""
+
+    def __init__(self, lex: Lexicon, params: tuple):
+        self.lex, self.classes = lex, len(params[0])
+        net, within = LogBilinear(self.classes), Within(self.classes, lex.home)
+        net.R, net.Q, net.C, net.bias, within.R, within.Q, within.bias, self.log_mass = params
+        self.first, self.second = net.table().ravel(), within.table().ravel()
+        self.end = int(lex.cls[lex.at[END]]) if END in lex.at else hashed_class(END)
+
+    def parts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of each token (-1: not listed), log10 of its class, of its output within it and, for tokens that are
+        left of their class, less that of the class's rest; and whether it is such a token, whose log count is to be added."""
+        lex = self.lex
+        at = lex.places(words)
+        c = np.concatenate([[self.end, self.end], lex.classes(words, at)])
+        return at, *self.after(c[:-2], c[1:-1], at, c[2:])
+
+    def after(self, a: np.ndarray, b: np.ndarray, at: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for tokens by the two classes before."""
+        out = self.first[(a * self.classes + b) * self.classes + c].astype(np.float64)
+        o = self.lex.output(at, c)
+        many = o >= 0
+        out[many] += self.second[b[many] * self.lex.outputs + o[many]]
+        rest = o >= self.lex.own
+        out[rest] -= self.log_mass[c[rest]]
+        return out, rest
+
+
+def _kept(key: tuple[str, str], make):
+    """What a worker keeps from task to task: the newest of each kind. This module travels by value, so it can't keep it itself."""
+    held = sys.__dict__.setdefault("_streamloom_kept", {})
+    kind, name = key
+    if kind not in held or held[kind][0] != name:
+        held[kind] = (name, make())
+    return held[kind][1]
+
+
 def _down(col: str):
     """From the largest value down; over distinct counts, of which there are about the root of all tokens."""
     from pyspark.sql import Window
@@ -257,16 +377,18 @@ def _down(col: str):
     return Window.orderBy(F.desc(col)).rowsBetween(Window.unboundedPreceding, 0)
 
 
-def _class_mass(vocab: DataFrame, single: list[bytes]) -> np.ndarray:
-    """Smoothed count of each class, with one share for a token never seen in each hashed class."""
-    own = vocab.where(~F.col("token").isin([bytearray(w) for w in single])) if single else vocab
+def _class_mass(vocab: DataFrame, single: list[bytes], learnt: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """Smoothed count of what is left of each hashed class, with one share for a token never seen; 1 for single classes."""
     ends = F.crc32(F.when(F.length("token") > 2, F.substring("token", -2, 2)).otherwise(F.col("token"))) % HASHED
-    sums = own.groupBy(ends.cast("int").alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect()
-    mass = np.full(SINGLE + HASHED, SMOOTH)
-    for r in sums:
-        mass[SINGLE + r["k"]] = r["c"] + SMOOTH * (r["n"] + 1)
-    for i, r in enumerate(vocab.where(F.col("token").isin([bytearray(w) for w in single])).collect() if single else []):
-        mass[single.index(bytes(r["token"]))] = r["c"] + SMOOTH
+    mass = np.zeros(SINGLE + HASHED)
+    for r in vocab.groupBy(ends.cast("int").alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():
+        mass[SINGLE + r["k"]] = r["c"] + SMOOTH * r["n"]
+    for r in vocab.where(F.col("token").isin([bytearray(w) for w in single])).collect() if single else []:
+        mass[hashed_class(bytes(r["token"]))] -= r["c"] + SMOOTH
+    for w, c in zip(learnt, counts.tolist()):
+        mass[hashed_class(w)] -= c + SMOOTH
+    mass[SINGLE:] = np.maximum(mass[SINGLE:], 0) + SMOOTH
+    mass[:SINGLE] = 1.0
     return mass
 
 

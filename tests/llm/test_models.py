@@ -408,11 +408,35 @@ def test_model_is_normalised(spark):
     vocab = lm_score.count_tokens(docs.select("text"))
     counts = {bytes(r.token): r.c for r in vocab.collect()}
     assert counts == {b"a": 2, b"b": 2, b"\n": 3}
-    # all tokens after the same two tokens, and one unknown for each hashed class, add up to one
     shown = lm_score.score(spark.createDataFrame([(t,) for t in ["a", "b", ""]], "text string"), docs.select("text"), frequent=2, steps=20)
     assert all(r.score < 0 and r.n_known == r.n_tokens for r in shown.collect())
 
 
+def test_tokens_add_up_to_one():
+    """After any two classes the chances of all tokens, and of one unknown for each hashed class, add up to one."""
+    rng = np.random.default_rng(4)
+    listed = [lm_score.END] + sorted({bytes(rng.integers(97, 123, 4).astype(np.uint8)) for _ in range(900)})
+    counts = np.sort(rng.integers(1, 3000, len(listed)))[::-1].astype(np.int64)
+    learnt = int((counts >= 200).sum())
+    lex = lm_score.Lexicon(listed, counts, learnt)
+    classes = lm_score.SINGLE + lm_score.HASHED
+    net, within = lm_score.LogBilinear(classes), lm_score.Within(classes, lex.home)
+    grams = np.unique(rng.integers(0, classes**3, 500))
+    net.fit(grams, rng.random(len(grams)), steps=5)
+    within.fit(rng.poisson(0.2, (classes, len(lex.home))).astype(float), steps=10)
+    mass = np.full(classes, lm_score.SMOOTH)
+    for w, c in list(zip(listed, counts))[learnt:]:
+        mass[lm_score.hashed_class(w)] += c + lm_score.SMOOTH
+    mass[: lm_score.SINGLE] = 1.0
+    scorer = lm_score.Scorer(lex, (net.R, net.Q, net.C, net.bias, within.R, within.Q, within.bias, np.log10(mass)))
+    at = np.concatenate([np.arange(len(listed)), np.full(lm_score.HASHED, -1)])
+    cls = np.concatenate([lex.cls[:-1], np.arange(lm_score.SINGLE, classes)])
+    for a, b in rng.integers(0, classes, (20, 2)):
+        logs, rest = scorer.after(np.full(len(at), a), np.full(len(at), b), at, cls)
+        logs[rest] += lex.log_count[at][rest]
+        assert (10.0**logs).sum() == pytest.approx(1.0, abs=1e-3)
+
+
 def test_scores_edges(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 2), (2**60 + 1, "new words", 3), (None, "new words", 3), (4, "w " * 100_000, 4), (4, "w " * 100_000, 4)], "doc_id long, text string, n_tokens_x long")
     out = lm_score.score(docs, docs.where("doc_id = 1").select("text"), steps=20).collect()
