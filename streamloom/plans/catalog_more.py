@@ -14,7 +14,7 @@ from ..sources import files, registry
 from ..spec import DistinctRule, FieldSpec, StoreSpec, StreamSpec, needs_restart, parse_config
 from ..streaming import twins
 from .builder import build, parsed
-from .catalog import events, ms, query, t
+from .catalog import ORACLE_SQL, events, query, t
 
 
 # ---- conversion ------------------------------------------------------------------------------
@@ -175,16 +175,18 @@ def java_hash_partition(spark, sf):
     return c.select("c_custkey", sinks.java_hash(F.col("c_name")).alias("h"), sinks.text_partition(sinks.partition_key(c, "1:c_name"), 7).alias("p"))
 
 
+ORACLE_SQL["kafka_partition_str"] = f"""with b as (select c_custkey, list_transform(range(1, length(c_name) + 1), lambda i: ord(c_name[i])::bigint) as u,
+ list_transform(range(1, length(c_custkey || c_name) + 1), lambda i: ord((c_custkey || c_name)[i])::bigint) as v from customer),
+h as (select c_custkey, list_reduce(list_prepend(0::bigint, u), lambda h, x: (h * 31 + x) % 4294967296) as h, list_reduce(list_prepend(0::bigint, v), lambda h, x: (h * 31 + x) % 4294967296) as k from b)
+select c_custkey, ({HASH_SQL})::int as h, abs({HASH_SQL.replace("h ", "k ").replace("then h", "then k").replace("else h", "else k")})::bigint % 7 as p from h"""
+
+
 def _poly_sql(factor: int) -> str:
     return f"(select case when h >= 2147483648 then h - 4294967296 else h end from (select list_reduce(list_prepend(0::bigint, u), lambda h, x: (h * {factor} + x) % 4294967296) as h))::int as h{factor}"
 
 
-@query(
-    f"""with b as (select c_custkey, list_transform(range(1, length(c_name) + 1), lambda i: ord(c_name[i])::bigint) as u from customer)
+ORACLE_SQL["sphash"] = f"""with b as (select c_custkey, list_transform(range(1, length(c_name) + 1), lambda i: ord(c_name[i])::bigint) as u from customer)
 select c_custkey, {_poly_sql(31)}, {_poly_sql(17)}, {_poly_sql(19)} from b"""
-)
-def poly_hashes(spark, sf):
-    return t(spark, sf, "customer").select("c_custkey", *[B.poly_hash(F.col("c_name"), f).alias(f"h{f}") for f in (31, 17, 19)])
 
 
 @query("select n_nationkey, (ord(n_name[2]) * 31 + ord(n_name[3]))::bigint as h from nation")
@@ -207,7 +209,8 @@ def jenkins_published(spark, sf):
     return frame.withColumn("h", F.pandas_udf(run, "long")("input", "seed"))
 
 
-@query("""with w as (select c_custkey, c_name as s, length(c_name) as n from customer),
+#: SQL of a query that is registered with the others.
+ORACLE_SQL["murmur2"] = """with w as (select c_custkey, c_name as s, length(c_name) as n from customer),
 k as (select c_custkey, n, s, list_transform(range(0, n // 4), lambda i: ord(s[4*i+1])::hugeint + ord(s[4*i+2]) * 256::hugeint + ord(s[4*i+3]) * 65536::hugeint + ord(s[4*i+4]) * 16777216::hugeint) as ks from w),
 m as (select c_custkey, n, s, list_transform(ks, lambda k: (xor((k * 1540483477) % 4294967296, ((k * 1540483477) % 4294967296) // 16777216) * 1540483477) % 4294967296) as ks from k),
 h as (select c_custkey, n, s, list_reduce(list_prepend(xor(4294967295::hugeint, n::hugeint), ks), lambda h, k: xor((h * 1540483477) % 4294967296, k)) as h from m),
@@ -216,11 +219,10 @@ r as (select c_custkey, case n % 4 when 0 then h when 1 then (xor(h, ord(s[n])::
  else (xor(h, ord(s[n-2]) + ord(s[n-1]) * 256::hugeint + ord(s[n]) * 65536::hugeint) * 1540483477) % 4294967296 end as h from h),
 x as (select c_custkey, (xor(h, h // 8192) * 1540483477) % 4294967296 as h from r),
 y as (select c_custkey, xor(h, h // 32768) as h from x)
-select c_custkey, (case when h >= 2147483648 then h - 4294967296 else h end)::int as h from y""")
-def murmur2_names(spark, sf):
-    return t(spark, sf, "customer").select("c_custkey", B.murmur2_of(F.col("c_name")).alias("h"))
+select c_custkey, (case when h >= 2147483648 then h - 4294967296 else h end)::int as h from y"""
 
 
+# ---- bytes -------------------------------------------------------------------------------------
 @query(
     """select n_nationkey, n_name[1:2] as head, n_name[-2:] as tail, lower(hex(encode(n_name))) || '0000' as padded,
 case when n_name < 'JAPAN' then -1 when n_name > 'JAPAN' then 1 else 0 end as cmp, starts_with(n_name, 'I') as pre, lower(lpad(to_hex(n_nationkey), 2, '0')) as vint, (n_nationkey * 1000)::bigint as back from nation"""
@@ -441,11 +443,7 @@ def soap_replies(spark, sf):
     return n.select("n_nationkey", records.xpath_text(body, "//name").alias("reply"))
 
 
-@query("select r_regionkey, r_name as name, cast(null as varchar) as broken from region")
-def xpath_nodes(spark, sf):
-    r = t(spark, sf, "region")
-    xml = F.concat(F.lit("<a><b><c>"), F.col("r_name"), F.lit("</c></b></a>"))
-    return r.select("r_regionkey", records.xpath_text(xml, "/a/b/c").alias("name"), records.xpath_text(F.lit("<a><br></a>"), "/a").alias("broken"))
+ORACLE_SQL["xpath_node"] = "select r_regionkey, r_name as name, cast(null as varchar) as broken from region"
 
 
 @query("select * from (values ('a'), ('b'), ('c')) as v(value)")
