@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from streamloom.llm import decontaminate, graph, line_dedup, simhash_dedup
 
@@ -245,6 +246,45 @@ def test_bit_maps_never_rule_out_similar_lines(spark):
                 assert (i, j) in passed
 
 
+def test_bytes_apart_and_rivals_in_a_single_bucket(spark):
+    rng = random.Random(4)
+    rows = [(rng.getrandbits(64) - 2**63, rng.getrandbits(64) - 2**63) for _ in range(40)] + [(5, 5), (-1, 0), (-1, 255)]
+    got = spark.createDataFrame(rows, "a long, b long").select("a", "b", line_dedup.bytes_apart(F.col("a"), F.col("b")).alias("n")).collect()
+    for r in got:
+        assert r.n == sum(x != y for x, y in zip(r.a.to_bytes(8, "big", signed=True), r.b.to_bytes(8, "big", signed=True)))
+    base = [rng.getrandbits(31) for _ in range(30)]
+    sigs = {1: base, 2: base[:16] + [x ^ 1 for x in base[16:]], 3: base[:15] + [x ^ 1 for x in base[15:]], 4: base}
+    schema = "h1 long, kind int, n long, sig array<int>"
+    signed = spark.createDataFrame([(h, 0, 1, sig) for h, sig in sigs.items()], schema)
+    # one shared bucket is enough: 1 meets 2 in bucket 10 only; 3 agrees too rarely, 4 is of the same component
+    placed = spark.createDataFrame([(10, 1, 0, 1), (10, 2, 0, 2), (11, 1, 0, 1), (11, 3, 0, 3), (12, 1, 0, 1), (12, 4, 0, 1)], "bucket long, h1 long, side int, component long")
+    met = {(r.bucket, r.h1) for r in line_dedup.with_rivals(placed, signed).collect()}
+    assert met == {(10, 1), (10, 2)}
+
+
+def test_second_links_need_one_shared_bucket_only(spark):
+    """Every verified pair of a bucket is found, also one that is in no other bucket and away from the hub."""
+    rng = random.Random(12)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(60))
+    lines = []
+    for _ in range(120):
+        x = passage + "".join(rng.choice("ijklmnop") for _ in range(25))
+        lines += [x, x[:-6] + "".join(rng.choice("qrst") for _ in range(6))]
+    docs = docs_of(spark, *enumerate(lines))
+    table = line_dedup.line_table(docs).cache()
+    by_hash = {r.h1: r.norm for r in line_dedup.exploded(docs).select("h1", "norm").distinct().collect()}
+    cut = {h: {x[i : i + 5] for i in range(len(x) - 4)} for h, x in by_hash.items()}
+    similar = {(a, b) for a in cut for b in cut if a > b and len(cut[a] & cut[b]) >= 0.8 * len(cut[a] | cut[b])}
+    shared = defaultdict(set)
+    for r in line_dedup.in_buckets(table).select("bucket", "h1").collect():
+        shared[r.bucket].add(r.h1)
+    together = {(a, b) for hs in shared.values() for a in hs for b in hs if a > b}
+    parts, second = line_dedup.line_links(docs, table)
+    got = {r.node.h1: r.component for r in line_dedup.components(parts, second).collect()}
+    assert similar & together
+    assert sum(a in got and got[a] == got.get(b) for a, b in similar & together) >= 0.99 * len(similar & together)
+
+
 # ---- decontamination -------------------------------------------------------------------------
 def brute_leaks(docs, items, width=5, starts=False):
     """Similarity of the best window of each document and item, by trying them all; with ``starts`` its first word as well."""
