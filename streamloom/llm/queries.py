@@ -9,6 +9,7 @@ from .line_dedup import op5_line_dedup
 from .lm_score import op8_lm_score
 from .mixing import op7_mixing
 from .multiset_hash import op4_fingerprints
+from .resample import op13_resample
 from .simhash_dedup import op10_simhash_dedup
 from .url_filter import op2_url_filter
 from .warc import op6_warc
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_language_id": op9_language_id,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op13_resample": op13_resample,
 }
 
 #: The archives' result follows from the pages; base32 is spelled out from the bits of the digest.
@@ -37,4 +39,20 @@ select page_id, cast(n as bigint) as payload_bytes, array_to_string(list_transfo
   case when page_id is not distinct from first then 'response' else 'revisit' end as record_type,
   case when page_id is distinct from first then first end as refers_to from d"""
 
-ORACLE_SQL: dict[str, str] = {"op6_warc": OP6_SQL}
+#: crc32 is spelled out from its polynomial, the rest is the contract's.
+OP13_SQL = r"""with steps as (select list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as tab),
+d as (select row_number() over () as k, doc_id, 0 as side, text from documents union all select row_number() over (), null, 1, text from benchmark),
+w as (select k, doc_id, side, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from d),
+g as (select k, side, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i+1] || ' ' || w[i+2]))) as f from w),
+u as (select f, row_number() over () as u from (select distinct f from g)),
+b as (select f, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, octet_length(encode(f)) + 1), lambda i: cast(('0x' || substr(hex(encode(f)), 2*i-1, 2)) as bigint))), lambda c, x: xor(c >> 8, tab[1 + (xor(c, x) & 255)])), 4294967295) % 10000 as b from u, steps),
+c as (select b, count(*) filter (side = 0) as s, count(*) filter (side = 1) as t from g join b using (f) group by b),
+z as (select sum(s) as s, sum(t) as t from c),
+n as (select b, cast(floor(1000 * ln((c.t + 1) * (z.s + 10000) / cast((c.s + 1) * (z.t + 10000) as double))) as bigint) as gain from c, z),
+h as (select k, count(*) as nf, sum(gain) as sw from g join b using (f) join n using (b) where side = 0 group by k),
+e as (select k, doc_id, len(w) as nw, coalesce(nf, 0) as nf, coalesce(sw, 0) as weight, cast('0x' || substr(sha256('42:' || coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) as h from w left join h using (k) where side = 0),
+r as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) as bigint) as score from e),
+q as (select *, row_number() over (order by nw >= 20 desc, score desc, doc_id nulls last, k) as p, (5 * (count(*) filter (nw >= 20) over ())) // 100 as m from r)
+select doc_id, cast(nf as bigint) as n_features, cast(weight as bigint) as weight, cast(score as bigint) as score, case when p <= m then p end as rank from q"""
+
+ORACLE_SQL: dict[str, str] = {"op6_warc": OP6_SQL, "op13_resample": OP13_SQL}
