@@ -26,7 +26,7 @@ LEAST, LONGEST, TOP = 10, 3, 2000
 #: A phrase goes if a longer one that holds it has so many percent of its occurrences.
 WITHIN = 50
 #: Bytes of text in a shard, unless one piece is longer; bitmap bytes that are compared at once.
-SHARD, BLOCK = 1 << 22, 1 << 21
+SHARD, BLOCK = 1 << 22, 1 << 20
 #: Bits of the map of frequent phrases, least and most (32 MB); about 16 for each phrase until the most is reached.
 MAP_LEAST, MAP_MOST = 1 << 20, 1 << 28
 #: What ends a piece and what stands between words.
@@ -47,7 +47,12 @@ class Tokens:
         inside = np.r_[False, kind == 0, False]
         start, end = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
         piece = np.cumsum(kind == 2, dtype=np.int64)[start] if len(start) else start
-        return start, end, piece, self.rolling(a, start, end)
+        code = np.empty(len(start), np.uint64)
+        cuts = np.unique(np.r_[np.searchsorted(start, np.arange(0, len(a), 1 << 18)), len(start)])
+        for i, j in zip(cuts[:-1], cuts[1:]):  # by blocks of text, which bounds the memory
+            at = start[i]
+            code[i:j] = self.rolling(a[at : end[j - 1]], start[i:j] - at, end[i:j] - at)
+        return start, end, piece, code
 
 
 def phrase_code(codes: list[np.ndarray], lang: bytes) -> np.ndarray:
@@ -126,14 +131,16 @@ class Shard:
 
 
 def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[bytes, bytes]]:
-    """Language and text of about ``size`` bytes, cut between pieces; every text is used whole."""
+    """Language and text of about ``size`` bytes, cut between pieces; every text is used whole. At most four times ``size`` is held for all languages."""
     held, length = defaultdict(list), defaultdict(int)
     for batch in batches:
         langs, texts = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("lang", "text"))
         for lang, text in zip(langs, texts):
             held[lang].append(text)
             length[lang] += len(text) + 1
-            if length[lang] >= size:
+            if sum(length.values()) >= 4 * size:
+                lang = max(length, key=length.get)
+            if length[lang] >= size or sum(length.values()) >= 4 * size:
                 rest = b"\n".join(held.pop(lang))
                 del length[lang]
                 while len(rest) >= 2 * size:
@@ -148,7 +155,7 @@ def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[bytes
 
 
 def counted(docs: DataFrame, levels: tuple[int, int], bits: np.ndarray | None = None, size: int = SHARD) -> DataFrame:
-    """``lang``, ``words``, ``phrase`` and ``n`` of the phrases whose length is in ``levels``, summed over shards; ``words`` 0 counts all words."""
+    """``lang``, ``words``, ``phrase`` and ``n`` of the phrases whose length is in ``levels``, summed over shards; ``words`` 0, an empty phrase, counts all words."""
     least, most = levels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,15 +168,16 @@ def counted(docs: DataFrame, levels: tuple[int, int], bits: np.ndarray | None =
                     continue
                 names = [shard.names.take(pa.array(c)) for c in columns]
                 names = pc.binary_join_element_wise(*names, pa.scalar(b" ")) if words > 1 else names[0]
-                same = lambda x, m: pa.array([x], pa.binary() if isinstance(x, bytes) else pa.int32()).take(pa.array(np.zeros(m, np.int64)))
                 if words == 1:
-                    yield pa.RecordBatch.from_arrays([same(lang, 1), same(0, 1), same(b"", 1), pa.array([int(n.sum())])], names=list(out))
-                yield pa.RecordBatch.from_arrays([same(lang, len(n)), same(words, len(n)), names, pa.array(n)], names=list(out))
-
-    out = {"lang": "binary", "words": "int", "phrase": "binary", "n": "long"}
-    mined = docs.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in out.items()))
-    mined = mined.select(F.col("lang").cast("string"), "words", F.col("phrase").cast("string"), "n")
-    return mined.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"))
+                    names, n = pa.concat_arrays([names, pa.array([b""])]), np.r_[n, n.sum()]
+                langs = pa.array([lang]).take(pa.array(np.zeros(len(n), np.int64)))
+                yield pa.RecordBatch.from_arrays([langs, names, pa.array(n)], names=["lang", "phrase", "n"])
+
+    mined = docs.mapInArrow(run, "lang binary, phrase binary, n long")
+    mined = mined.select(F.col("lang").cast("string"), F.col("phrase").cast("string"), "n")
+    mined = mined.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    words = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1)
+    return mined.select("lang", words.cast("int").alias("words"), "phrase", "n")
 
 
 def marked(bits: np.ndarray, code: np.ndarray) -> np.ndarray:

@@ -111,7 +111,7 @@ def mined(docs, least, longest, top=2000, within=50):
     )
 
 
-@pytest.mark.parametrize("longest, size", [(3, 300), (4, 1 << 22), (2, 50)])
+@pytest.mark.parametrize("longest, size", [(3, 1 << 22), (4, 300)])
 def test_phrases_are_brute_force(spark, monkeypatch, longest, size):
     monkeypatch.setattr(collocations, "BLOCK", 64)
     rng = random.Random(11)
@@ -198,7 +198,7 @@ def join_texts():
     return rows
 
 
-@pytest.mark.parametrize("short, rounds", [(32, 4), (3, 4), (3, 0), (1, 2)])
+@pytest.mark.parametrize("short, rounds", [(32, 4), (3, 1)])
 def test_join_is_brute_force(spark, monkeypatch, short, rounds):
     monkeypatch.setattr(jaccard_join, "SHORT", short)
     monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
