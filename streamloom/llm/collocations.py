@@ -3,8 +3,10 @@
 A task cuts the texts that it reads into shards of one language. In a shard each word has a bitmap
 of its positions, compressed to the bytes that are not zero; positions of neighbouring pieces are
 one apart, so a shifted bitmap never reaches into the next piece. Popcounts of all shards are
-summed by phrase. A level beyond two words extends only phrases that a bit map of the frequent
-ones lets pass; its size is bounded, and what it lets pass in excess the exact sums remove.
+summed by phrase. First words and pairs are summed by a hash, which shows all that may be frequent
+enough; then they and the phrases of three words that begin and end with such a pair are summed by
+their text, and each further level begins and ends with phrases of the one before. Tasks know what
+may be frequent by a bit map of bounded size, and what it lets pass in excess the sums remove.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ LEAST, LONGEST, TOP = 10, 3, 2000
 #: A phrase goes if a longer one that holds it has so many percent of its occurrences.
 WITHIN = 50
 #: Bytes of text in a shard, unless one piece is longer; bitmap bytes that are compared at once.
-SHARD, BLOCK = 1 << 22, 1 << 20
-#: Bits of the map of frequent phrases, least and most (32 MB); about 16 for each phrase until the most is reached.
+SHARD, BLOCK = 1 << 21, 1 << 19
+#: Bits of the map of frequent phrases, least and most (32 MB); 16 for each phrase until the most is reached.
 MAP_LEAST, MAP_MOST = 1 << 20, 1 << 28
 #: What ends a piece and what stands between words.
 BREAKS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
@@ -131,10 +133,11 @@ class Shard:
 
 
 def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[bytes, bytes]]:
-    """Language and text of about ``size`` bytes, cut between pieces; every text is used whole. At most four times ``size`` is held for all languages."""
+    """Language and text of about ``size`` bytes, cut between pieces; every text is used whole. At most four times ``size`` is held for all languages, or one text."""
     held, length = defaultdict(list), defaultdict(int)
-    for batch in batches:
-        langs, texts = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("lang", "text"))
+    parts = (batch.slice(at, 256) for batch in batches for at in range(0, batch.num_rows, 256))
+    for part in parts:
+        langs, texts = (part.column(c).cast(pa.binary()).to_pylist() for c in ("lang", "text"))
         for lang, text in zip(langs, texts):
             held[lang].append(text)
             length[lang] += len(text) + 1
@@ -154,30 +157,58 @@ def shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[bytes
         yield lang, b"\n".join(texts)
 
 
-def counted(docs: DataFrame, levels: tuple[int, int], bits: np.ndarray | None = None, size: int = SHARD) -> DataFrame:
-    """``lang``, ``words``, ``phrase`` and ``n`` of the phrases whose length is in ``levels``, summed over shards; ``words`` 0, an empty phrase, counts all words."""
-    least, most = levels
+def mined(docs: DataFrame, size: int, depth: int, bits: np.ndarray | None, give, schema: str) -> DataFrame:
+    """What ``give`` makes of each level of each shard: it gets the shard, its language, the length, the word numbers, the counts and the codes of the phrases."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
         for lang, text in shards(batches, size):
             shard = Shard(text.lower(), tokens)
-            allowed = lambda columns: marked(bits, phrase_code([shard.code[c] for c in columns], lang))  # noqa: E731, B023
-            for words, columns, n in shard.phrases(most, allowed):
-                if words < least or not len(n):
-                    continue
-                names = [shard.names.take(pa.array(c)) for c in columns]
-                names = pc.binary_join_element_wise(*names, pa.scalar(b" ")) if words > 1 else names[0]
-                if words == 1:
-                    names, n = pa.concat_arrays([names, pa.array([b""])]), np.r_[n, n.sum()]
-                langs = pa.array([lang]).take(pa.array(np.zeros(len(n), np.int64)))
-                yield pa.RecordBatch.from_arrays([langs, names, pa.array(n)], names=["lang", "phrase", "n"])
-
-    mined = docs.mapInArrow(run, "lang binary, phrase binary, n long")
-    mined = mined.select(F.col("lang").cast("string"), F.col("phrase").cast("string"), "n")
-    mined = mined.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+            code = lambda columns: phrase_code([shard.code[c] for c in columns], lang)  # noqa: E731, B023
+            for words, columns, n in shard.phrases(depth, lambda columns: marked(bits, code(columns))):  # noqa: B023
+                if len(n):
+                    yield from give(shard, lang, words, columns, n, code(columns))
+
+    return docs.mapInArrow(run, schema)
+
+
+def frequent_codes(docs: DataFrame, least: int, size: int) -> DataFrame:
+    """``h``: the hashes of at least all words and pairs of words that occur ``least`` times; two that share a hash count together."""
+
+    def give(shard, lang, words, columns, n, code) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n)], names=["h", "n"])
+
+    found = mined(docs, size, 2, None, give, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return materialize(found.where(F.col("n") >= least).select("h"), "phrases-codes")
+
+
+def counted(docs: DataFrame, levels: tuple[int, int], bits: np.ndarray, size: int = SHARD) -> DataFrame:
+    """``lang``, ``words``, ``phrase`` and ``n``, summed over shards, of the phrases whose length is in ``levels`` and that ``bits`` lets pass.
+
+    Words and pairs must be marked themselves, longer phrases at both ends. From one word on, an
+    empty phrase of ``words`` 0 counts all words of a language.
+    """
+    least, most = levels
+
+    def give(shard, lang, words, columns, n, code) -> Iterator[pa.RecordBatch]:
+        if words < least:
+            return
+        total = int(n.sum())
+        if words <= 2:
+            fine = marked(bits, code)
+            columns, n = [c[fine] for c in columns], n[fine]
+        names = [shard.names.take(pa.array(c)) for c in columns]
+        names = pc.binary_join_element_wise(*names, pa.scalar(b" ")) if words > 1 else names[0]
+        if words == 1:
+            names, n = pa.concat_arrays([names, pa.array([b""])]), np.r_[n, total]
+        langs = pa.array([lang]).take(pa.array(np.zeros(len(n), np.int64)))
+        yield pa.RecordBatch.from_arrays([langs, names, pa.array(n)], names=["lang", "phrase", "n"])
+
+    found = mined(docs, size, most, bits, give, "lang binary, phrase binary, n long")
+    found = found.select(F.col("lang").cast("string"), F.col("phrase").cast("string"), "n")
+    found = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
     words = F.when(F.col("phrase") == "", 0).otherwise(F.length("phrase") - F.length(F.replace("phrase", F.lit(" "), F.lit(""))) + 1)
-    return mined.select("lang", words.cast("int").alias("words"), "phrase", "n")
+    return found.select("lang", words.cast("int").alias("words"), "phrase", "n")
 
 
 def marked(bits: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -185,11 +216,8 @@ def marked(bits: np.ndarray, code: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def bit_map(phrases: DataFrame) -> np.ndarray:
-    """A bit for the hash of each phrase (``lang``, ``phrase``), 2 to 32 MB whatever their number."""
-    n, size = phrases.count(), MAP_LEAST
-    while size < MAP_MOST and size < 16 * n:
-        size *= 2
+def codes_of(phrases: DataFrame) -> DataFrame:
+    """``h``: the hashes of phrases (``lang``, ``phrase``) as shards have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
@@ -199,13 +227,19 @@ def bit_map(phrases: DataFrame) -> np.ndarray:
                 by[lang, phrase.count(b" ")].append(phrase)
             for (lang, blanks), own in by.items():
                 code = tokens(b"\n".join(own))[3].reshape(len(own), blanks + 1)
-                at = np.unique(phrase_code(list(code.T), lang) & np.uint64(size - 1))
-                word, start = np.unique(at >> np.uint64(6), return_index=True)
-                bits = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), start)
-                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(phrase_code(list(code.T), lang).view(np.int64))], names=["h"])
+
+    return phrases.select("lang", "phrase").mapInArrow(run, "h long")
+
 
-    found = phrases.select("lang", "phrase").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    found = found.toArrow()
+def bit_map(codes: DataFrame) -> np.ndarray:
+    """A bit for each hash ``h``, 128 KB to 32 MB whatever their number."""
+    n, size = codes.count(), MAP_LEAST
+    while size < MAP_MOST and size < 16 * n:
+        size *= 2
+    word = F.shiftrightunsigned(F.col("h").bitwiseAND(F.lit(size - 1)), 6)
+    found = codes.select(word.alias("word"), F.expr("shiftleft(1L, cast(h & 63 AS int))").alias("bit"))
+    found = found.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     bits = np.zeros(size >> 6, np.uint64)
     bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return bits
@@ -215,13 +249,16 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, s
     """``lang``, ``words``, ``phrase`` and ``n`` of all phrases of up to ``longest`` words that occur ``least`` times; ``words`` 0: all words of a language."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     enough = (F.col("n") >= least) | (F.col("words") == 0)
-    found = materialize(counted(texts, (1, 2), None, size).where(enough), "phrases-2")
+    codes = frequent_codes(texts, least, size)
     tidy(docs.sparkSession)
-    for words in range(3, longest + 1):
-        bits = bit_map(found.where("words >= 2"))
+    found = materialize(counted(texts, (1, min(3, longest)), bit_map(codes), size).where(enough), "phrases-3")
+    release(codes)
+    for words in range(4, longest + 1):
+        tidy(docs.sparkSession)
+        bits = bit_map(codes_of(found.where("words >= 2")))
         more = materialize(counted(texts, (words, words), bits, size).where(enough), f"phrases-{words}")
         found = found.unionByName(more)
-        tidy(docs.sparkSession)
+    tidy(docs.sparkSession)
     return found
 
 
