@@ -29,6 +29,8 @@ LEAST, LONGEST, TOP = 10, 3, 2000
 WITHIN = 50
 #: Bytes of text in a shard, unless one piece is longer; bitmap bytes that are compared at once.
 SHARD, BLOCK = 1 << 21, 1 << 19
+#: Up to so many languages their totals are broadcast.
+LANGUAGES = 100_000
 #: Bits of the map of frequent phrases, least and most (32 MB); 16 for each phrase until the most is reached.
 MAP_LEAST, MAP_MOST = 1 << 20, 1 << 28
 #: What ends a piece and what stands between words.
@@ -300,7 +302,9 @@ def collocations(
     ranked = positions(cand, F.col("lang"), F.col("score").desc(), F.col("a").desc(), F.col("phrase"), name="phrases-ranked")
     first = ranked.groupBy("lang").agg(F.min("position").alias("first"))
     total = found.where("words = 0").select("lang", F.col("n").alias("n"))
-    out = ranked.join(first.join(total, "lang"), "lang").withColumn("rank", F.col("position") - F.col("first") + 1)
+    each = materialize(first.join(total, "lang"), "phrases-languages")  # a row for each language
+    each = F.broadcast(each) if each.count() <= LANGUAGES else each
+    out = ranked.join(each, "lang").withColumn("rank", F.col("position") - F.col("first") + 1)
     release(cand)
     return out.where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
