@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 
 def counters(df: DataFrame, keys: list[str], size: Column, failed: Column) -> DataFrame:
     """Rows, bytes and failures for each key."""
@@ -48,9 +52,8 @@ def ring(df: DataFrame, keys: list[str], order: list[Column], size: int = 5) ->
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
-    """Sum up to each row."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.sum(value).over(w))
+    """Sum up to each row; ``order`` needs a tie-break. A key may fill many tasks."""
+    return ranges.summed(df, keys, [F.col(c) for c in order], value, name)
 
 
 def throughput(df: DataFrame, time: str, seconds: int = 5) -> DataFrame:
@@ -106,13 +109,11 @@ def best(df: DataFrame, value: str, order: list[str], least: bool = True) -> Dat
 
 
 def counted_log(df: DataFrame, msg: str, order: list[str], time: str, size: Column, rows: int = 1000) -> DataFrame:
-    """A log row for each message and so many rows: number, first and last time, bytes and rows."""
-    w = Window.partitionBy(msg).orderBy(*order)
+    """A log row for each message and so many rows: number, first and last time, bytes and rows. ``order`` needs a tie-break; a message may fill many tasks."""
     ms = F.unix_millis(F.col(time).cast("timestamp"))
-    part = F.floor((F.row_number().over(w) - 1) / rows).cast("int")
-    return df.withColumn("part", part).groupBy(msg, "part").agg(
-        F.min(ms).alias("start_ms"), F.max(ms).alias("end_ms"), F.sum(size).cast("long").alias("bytes"), F.count("*").alias("n")
-    )
+    each = ranges.placed(df.withColumn("_size", size), [msg], [F.col(c) for c in order], "_place")
+    part = F.floor((F.col("_place") - 1) / rows).cast("int").alias("part")
+    return each.groupBy(msg, part).agg(F.min(ms).alias("start_ms"), F.max(ms).alias("end_ms"), F.sum("_size").cast("long").alias("bytes"), F.count("*").alias("n"))
 
 
 def snapshot_json(df: DataFrame, host: str, measures: list[str]) -> DataFrame:
@@ -120,15 +121,23 @@ def snapshot_json(df: DataFrame, host: str, measures: list[str]) -> DataFrame:
     return df.select(host, F.to_json(F.struct(*measures)).alias("snapshot"))
 
 
-def html_table(df: DataFrame, title: str, most: int = 1000) -> str:
-    """A report page of a small table of metrics: one row for each host or message, ``most`` at most."""
+def html_rows(df: DataFrame) -> DataFrame:
+    """``value``: a table row for each row, escaped; a null is empty."""
+    safe = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    cells = [safe(F.col(c)) for c in df.columns]
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        cells = [F.replace(c, F.lit(a), F.lit(b)) for c in cells]
+    return df.select(F.concat(F.lit("<tr>"), *[x for c in cells for x in (F.lit("<td>"), c, F.lit("</td>"))], F.lit("</tr>")).alias("value"))
+
+
+def html_page(df: DataFrame, title: str) -> Iterator[str]:
+    """The parts of a report page of all rows in their order; rows come to the driver one partition at a time."""
     import html
 
-    cell = lambda tag, v: f"<{tag}>{html.escape('' if v is None else str(v))}</{tag}>"
-    rows = df.limit(most).collect()
-    head = "".join(cell("th", c) for c in df.columns)
-    body = "".join("<tr>" + "".join(cell("td", v) for v in r) + "</tr>" for r in rows)
-    return f"<html><head><title>{html.escape(title)}</title></head><body><table><tr>{head}</tr>{body}</table></body></html>"
+    head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
+    yield f"<html><head><title>{html.escape(title)}</title></head><body><table><tr>{head}</tr>"
+    yield from (r.value for r in html_rows(df).toLocalIterator())
+    yield "</table></body></html>"
 
 
 #: Declared group methods.

@@ -171,18 +171,54 @@ def encode_rows(df: DataFrame, fields: list[tuple[str, str]], out: str = "value"
     return df.withColumn(out, F.concat(*parts))
 
 
+def real_of(bits: Column) -> Column:
+    """The double whose 64 bits a long has; every step is exact."""
+    e = F.shiftrightunsigned(bits, 52).bitwiseAND(F.lit(2047))
+    m = bits.bitwiseAND(F.lit((1 << 52) - 1)).cast("double")
+    two = lambda k: F.pow(F.lit(2.0), k)
+    size = F.when(e == 0, m * two(F.lit(-1074.0))).when(e < 2047, (1 + m / F.lit(float(1 << 52))) * two((e - 1023).cast("double")))
+    size = size.otherwise(F.when(m == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan"))))
+    return F.when(bits < 0, -size).when(bits >= 0, size)
+
+
+def _unpacked(df: DataFrame, data: Column, fields: list[tuple[str, str]], prefix: str) -> DataFrame:
+    """``df`` and a column for each field, ``prefix`` and its place; a field that the data ends in is null."""
+    df = df.withColumn(f"{prefix}at", F.when(data.isNotNull(), F.lit(1)))
+    for i, (_, declared) in enumerate(fields):
+        kind, at = field_type(declared), F.col(f"{prefix}at")
+        if kind.code in (WHOLE, TIME, REAL):
+            raw = F.substring(data, at, F.lit(8))
+            bits = F.conv(F.hex(F.when(F.length(raw) == 8, raw)), 16, -10).cast("bigint")
+            df = df.withColumn(f"{prefix}{i}", bits)
+            value, step = real_of(F.col(f"{prefix}{i}")) if kind.code == REAL else F.col(f"{prefix}{i}"), F.lit(8)
+            df = df.withColumn(f"{prefix}{i}", value.cast(kind.spark))
+        else:
+            df = df.withColumn(f"{prefix}n", F.conv(F.hex(F.substring(data, at, F.lit(4))), 16, 10).cast("int"))
+            raw = F.substring(data, at + 4, F.col(f"{prefix}n"))
+            raw = F.when(F.length(raw) == F.col(f"{prefix}n"), raw)
+            df = df.withColumn(f"{prefix}{i}", raw.cast("string") if kind.code == TEXT else raw)
+            step = 4 + F.col(f"{prefix}n")
+        df = df.withColumn(f"{prefix}at", at + step)
+    return df
+
+
 def decode_rows(df: DataFrame, fields: list[tuple[str, str]], value: str = "value") -> DataFrame:
-    """The fields of a binary column in wire form, in place of it."""
-    codes = wire_codes([t for _, t in fields])
-    names = [n for n, _ in fields]
-    kinds = {WHOLE: "Int64", TIME: "Int64", REAL: "float64"}
-    schema = ", ".join(f"`{n}` {field_type(t).spark.simpleString()}" for n, t in fields)
-
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for column in batches:
-            rows = [decode_row(bytes(b), codes) for b in column]
-            made = list(zip(*rows)) if rows else [()] * len(names)
-            yield pd.DataFrame({n: pd.Series(list(v), dtype=kinds.get(k, object)) for n, k, v in zip(names, codes, made)})
-
-    row = F.pandas_udf(run, schema)(F.col(value))
-    return df.withColumn("_row", row).select(*[c for c in df.columns if c != value], "_row.*")
+    """The fields of a binary column in wire form, in place of it, by Spark functions."""
+    out = _unpacked(df, F.col(value), fields, "_w")
+    return out.select(*[c for c in df.columns if c != value], *[F.col(f"_w{i}").alias(n) for i, (n, _) in enumerate(fields)])
+
+
+def decode_topics(df: DataFrame, shapes: dict[str, list[tuple[str, str]]], topic: str = "topic", value: str = "value") -> DataFrame:
+    """Binary rows of many schemas in one pass: a struct for each topic in place of ``value``, null in rows of other topics.
+
+    ``shapes``: the fields (name, declared type) of each topic. Rows of topics that aren't in it have no struct.
+    """
+    out = df
+    for k, (name, fields) in enumerate(shapes.items()):
+        out = _unpacked(out, F.when(F.col(topic) == name, F.col(value)), fields, f"_w{k}_")
+    made = [
+        F.when(F.col(topic) == name, F.struct(*[F.col(f"_w{k}_{i}").alias(n) for i, (n, _) in enumerate(fields)])).alias(name)
+        for k, (name, fields) in enumerate(shapes.items())
+    ]
+    return out.select(*[c for c in df.columns if c != value], *made)
+

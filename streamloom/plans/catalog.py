@@ -697,4 +697,4 @@ def task_assign(spark, sf):
     return spark.createDataFrame([(h, x) for h, xs in found.items() for x in xs], "host string, task string")
 
 
-from . import catalog_more  # noqa: E402, F401  (registers more queries)
+from . import catalog_more, catalog_streams  # noqa: E402, F401  (they register more queries)

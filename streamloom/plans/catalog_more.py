@@ -12,7 +12,7 @@ from ..functions import scalar as S
 from ..operators import expr, metrics, records, sinks, topology
 from ..sources import files, registry
 from ..spec import DistinctRule, FieldSpec, StoreSpec, StreamSpec, needs_restart, parse_config
-from ..streaming import twins
+from ..streaming import monitor, twins
 from .builder import build, parsed
 from .catalog import ORACLE_SQL, events, query, t
 
@@ -95,15 +95,15 @@ def match_texts(spark, sf):
 
 @query(
     """select p_partkey, case when b >= 1073741824 then format('{:.1f}g', b / 1073741824) when b >= 1048576 then format('{:.1f}m', b / 1048576)
- when b >= 1024 then format('{:.1f}k', b / 1024) else b::varchar end as human, case when b < 1024 then b || 'B' else 'more' end as bytes,
+ when b >= 1024 then format('{:.1f}k', b / 1024) else b::varchar end as human, case when b < 1024 then b || 'B' when b < 1048576 then rtrim(rtrim(format('{:.2f}', round_even(b / 1024, 2)), '0'), '.') || 'KB'
+ else rtrim(rtrim(format('{:.2f}', round_even(b / 1048576, 2)), '0'), '.') || 'MB' end as bytes,
  format('{:.2f}%', floor((p_size / 64) * 100 * 100) / 100) as pct, format('{:.2f}', p_size / 4) as dec
 from (select *, (p_size * p_size * p_size * 512)::bigint as b from part)"""
 )
 def sizes_shown(spark, sf):
     p = t(spark, sf, "part").withColumn("b", (F.col("p_size").cast("bigint") * F.col("p_size") * F.col("p_size") * 512))
-    shown = F.when(F.col("b") < 1024, S.byte_size(F.col("b"))).otherwise("more")
     return p.select(
-        "p_partkey", S.human_size(F.col("b")).alias("human"), shown.alias("bytes"), S.percent(F.col("p_size") / 64).alias("pct"), S.decimal_text(F.col("p_size") / 4, "0.00").alias("dec")
+        "p_partkey", S.human_size(F.col("b")).alias("human"), S.byte_size(F.col("b")).alias("bytes"), S.percent(F.col("p_size") / 64).alias("pct"), S.decimal_text(F.col("p_size") / 4, "0.00").alias("dec")
     )
 
 
@@ -155,11 +155,12 @@ def now_macros(spark, sf):
 
 # ---- hashes and bytes ------------------------------------------------------------------------
 @query(
-    """select c_custkey, case when md5(c_name)[1] in ('0','1','2','3','4','5','6','7') then coalesce(nullif(ltrim(md5(c_name), '0'), ''), '0') else 'negative' end as signed from customer"""
+    """with m as (select c_custkey, md5(c_name) as m from customer), d as (select *, length(rtrim(m, '0')) as last, list_transform(range(1, 33), lambda i: strpos('0123456789abcdef', m[i]) - 1) as d from m),
+n as (select *, array_to_string(list_transform(range(1, 33), lambda i: '0123456789abcdef'[1 + case when i < last then 15 - d[i] when i = last then 16 - d[i] else 0 end]), '') as neg from d)
+select c_custkey, case when d[1] < 8 then coalesce(nullif(ltrim(m, '0'), ''), '0') else '-' || ltrim(neg, '0') end as signed from n"""
 )
 def md5_signed(spark, sf):
-    signed = B.md5_signed_of(F.col("c_name"))
-    return t(spark, sf, "customer").select("c_custkey", F.when(F.startswith(signed, F.lit("-")), "negative").otherwise(signed).alias("signed"))
+    return t(spark, sf, "customer").select("c_custkey", B.md5_signed_of(F.col("c_name")).alias("signed"))
 
 
 HASH_SQL = """case when h >= 2147483648 then h - 4294967296 else h end"""
@@ -430,8 +431,8 @@ def published_snapshot(spark, sf):
 string_agg('<tr><td>' || r_regionkey || '</td><td>' || r_name || '</td></tr>', '' order by r_regionkey) || '</table></body></html>' as page from region"""
 )
 def dashboard(spark, sf):
-    page = metrics.html_table(t(spark, sf, "region").select("r_regionkey", "r_name").orderBy("r_regionkey"), "regions")
-    return spark.createDataFrame([(page,)], "page string")
+    page = metrics.html_page(t(spark, sf, "region").select("r_regionkey", "r_name").orderBy("r_regionkey"), "regions")
+    return spark.createDataFrame([("".join(page),)], "page string")
 
 
 # ---- sources ---------------------------------------------------------------------------------
@@ -469,8 +470,13 @@ def _stream(spark, sf):
 def stream_progress(spark, sf):
     """Rows of a stream by its progress reports."""
     path = twins.shared_folder(spark)
+    listener = monitor.Progress(f"{path}/progress")
+    spark.streams.addListener(listener)
     writer = _stream(spark, sf).writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state")
-    return twins.progress(twins.run_to_end(writer)).agg(F.sum("n").alias("n"))
+    done = twins.run_to_end(writer)
+    listener.wait_for(str(done.id), done.lastProgress["batchId"])
+    spark.streams.removeListener(listener)
+    return listener.table(spark).where(F.col("id") == str(done.id)).agg(F.sum("n").alias("n"))
 
 
 @query("select event_type, count(*) as n from events group by 1")

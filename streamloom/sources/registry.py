@@ -170,7 +170,12 @@ def landing_source(spark: SparkSession, path: str, schema: str = "topic string,
 
 
 def register(spark: SparkSession) -> None:
-    for source in (HttpSource, SoapSource, SocketSource):
+    from ..operators.send import SendStore
+    from .archives import TarSource
+    from .polls import PollSource
+    from .tail import TailSource
+
+    for source in (HttpSource, SoapSource, SocketSource, TailSource, PollSource, TarSource, SendStore):
         spark.dataSource.register(source)
 
 

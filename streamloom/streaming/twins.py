@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.expr import drop_rows
 from ..operators.sinks import HOOKS
+from ..sources.files import shared_folder
 from ..spec import DistinctRule, StoreSpec, StreamSpec, needs_restart
 
 
@@ -77,12 +78,6 @@ def change_only_stream(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, `{value}` string", "last string", "append", "NoTimeout")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or below the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_streams"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def trigger_of(interval: str | None) -> dict:
     """``processingTime`` with an interval (the poll period), else all there is, once."""
     return {"processingTime": interval} if interval else {"availableNow": True}
@@ -115,14 +110,6 @@ def finish(df: DataFrame, mode: str = "append", checkpoint: str | None = None) -
     return df.sparkSession.table(name)
 
 
-def progress(query, host: str = "local") -> DataFrame:
-    """Metric snapshots of a stream: a row for each batch with its rows and time, from its progress reports."""
-    from pyspark.sql import SparkSession as Session
-
-    rows = [(host, p["name"], int(p["batchId"]), int(p["numInputRows"]), int(p["batchDuration"])) for p in query.recentProgress]
-    return Session.active().createDataFrame(rows, "host string, name string, batch long, n long, ms long")
-
-
 def drain(queries: list, timeout: float = 60.0) -> None:
     """Stops streams once they have worked off what has come in."""
     for query in queries:
