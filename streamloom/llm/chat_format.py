@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, source_columns, table
 from .lang_id import held_out_flag
+from .ranks import positions
 
 #: Names that speaker markers use, by the role they stand for.
 MARKERS = {
@@ -32,6 +33,10 @@ MARKERS = {
 #: Values of each mark: marker, length, lines, question, list or code.
 SIZES = (len(MARKERS) + 2, 16, 8, 2, 2)
 BLOCK = 512
+#: Part of the marked turns whose speaker the model of lines takes to have a name that isn't listed.
+UNLISTED = 0.1
+#: Such a name: a letter, then up to 30 letters, digits, dots, dashes or underlines.
+ANY_NAME = r"\p{L}[\p{L}\p{N}_.-]{0,30}"
 
 
 def marker_pattern(names: tuple[str, ...]) -> str:
@@ -50,7 +55,7 @@ def markers() -> list[tuple[str, str]]:
 def marks(text: Column) -> list[Column]:
     """The marks of a turn as small integers; a null text is an empty one."""
     text = F.coalesce(text, F.lit(""))
-    kind = F.when(text.rlike(r"^\s*[\p{L}][\p{L}\p{N} _.-]{0,30}:\s"), len(MARKERS) + 1).otherwise(0)
+    kind = F.when(text.rlike(marker_pattern((ANY_NAME,))), len(MARKERS) + 1).otherwise(0)
     for i, (_, pattern) in reversed(list(enumerate(markers(), 1))):
         kind = F.when(text.rlike(pattern), i).otherwise(kind)
     size = F.least(F.floor(F.log2(F.length(text) + F.lit(1.0))).cast("int"), F.lit(SIZES[1] - 1))
@@ -137,7 +142,8 @@ INSIDE = "+"
 
 def train_lines(turns: DataFrame, smooth: float = 0.5) -> Hmm:
     """A model of the lines of turns (``conv_id``, ``turn``, ``role``, ``text`` with its speaker marker): for each role a
-    state that begins a turn and one that goes on. Moves that can't be have next to no chance."""
+    state that begins a turn and one that goes on. Moves that can't be have next to no chance. Names that aren't listed
+    may begin a turn of any role with the chance ``UNLISTED`` gives them; they stay in its text, as they may be part of it."""
     known = turns.where(F.col("role").isNotNull()).select("conv_id", F.col("turn").cast("decimal(20,0)").alias("turn"), "role", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
     names = sorted(r[0] for r in known.select("role").distinct().collect())
     roles = (*names, *(r + INSIDE for r in names))
@@ -153,7 +159,10 @@ def train_lines(turns: DataFrame, smooth: float = 0.5) -> Hmm:
         step[at + n, at + n] = smooth + r["more"]
     each = known.select("role", F.posexplode("lines").alias("i", "text"))
     each = each.withColumn("state", F.when(F.col("i") == 0, F.col("role")).otherwise(F.concat("role", F.lit(INSIDE))))
-    return Hmm(roles, _log(start), _log(step), tuple(map(_log, _emissions(each, "state", place, smooth))))
+    emit = _emissions(each, "state", place, smooth)
+    named = slice(1, len(MARKERS) + 1)
+    emit[0][:n, -1] += UNLISTED * emit[0][:n, named].sum(1)  # the last value: a name that isn't listed
+    return Hmm(roles, _log(start), _log(step), tuple(map(_log, emit)))
 
 
 def _max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -335,16 +344,18 @@ def as_transcript(turns: DataFrame) -> DataFrame:
 
 
 def lines_of(turns: DataFrame) -> DataFrame:
-    """The lines of transcripts that hold ``turns`` one after the other: ``conv_id``, ``k``, ``text``.
+    """The lines of transcripts that hold ``turns`` one after the other: ``conv_id``, ``k`` (0, 1, 2 ... in each), ``text``.
 
-    Rows of one turn that differ follow each other by text, so that no conversation is brought together. ``k`` has room
-    for 4096 such rows and a million lines each; beyond, lines share a number.
+    Turns stand in the order of their numbers, whatever these are, null last; rows of one turn that
+    differ follow each other by text, equal ones count once. Rows and lines are numbered by
+    distributed sorts, so that no conversation or turn is brought together.
     """
-    nth = F.dense_rank().over(Window.partitionBy("conv_id", "turn").orderBy("text")) - 1
-    rows = turns.select("conv_id", F.coalesce("turn", F.lit((1 << 30) - 1)).alias("turn"), "text").distinct()
-    at = (F.least(F.greatest(F.col("turn").cast("long"), F.lit(0)), F.lit((1 << 30) - 1)) * 4096 + F.least(nth, F.lit(4095))) * (1 << 20)
-    each = rows.select("conv_id", at.alias("at"), F.posexplode(F.split("text", "\n")).alias("i", "text"))
-    return each.select("conv_id", (F.col("at") + F.least("i", F.lit((1 << 20) - 1))).alias("k"), "text")
+    rows = turns.select("conv_id", "turn", "text").distinct()
+    rows = positions(rows, F.col("conv_id"), F.col("turn").asc_nulls_last(), F.col("text"), name="chat-rows").withColumnRenamed("position", "nth")
+    each = rows.select("conv_id", "nth", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    each = positions(each, F.col("nth"), F.col("i"), name="chat-places")
+    first = each.groupBy(F.col("conv_id").alias("c")).agg(F.min("position").alias("first"))
+    return each.join(first, F.col("conv_id").eqNullSafe(F.col("c"))).select("conv_id", (F.col("position") - F.col("first")).alias("k"), "text")
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

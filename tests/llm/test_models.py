@@ -108,6 +108,59 @@ def test_chat_edges(spark):
     assert chat_format.recover_roles(clash, chat_format.train(df)).columns == ["conv_id", "turn", "text", "role_pred", "rendered"]
 
 
+def test_lines_of_any_turn_numbers(spark):
+    """Turns keep their order and none is lost, whatever their numbers; null comes last, equal rows count once."""
+    far = 1 << 31
+    turns = {
+        1: [(-2, "Assistant: a"), (-1, "User: first line\nsecond line?\nthird line"), (0, "Assistant: b")],
+        2: [(far, "Customer: far a"), (far + 5, "Agent: far b"), (None, "Customer: none c")],
+        None: [(-(1 << 63), "User: least"), ((1 << 63) - 1, "Bot: most"), ((1 << 63) - 1, "Bot: most"), ((1 << 63) - 1, "Zed: another\n\n")],
+    }
+    df = spark.createDataFrame([(c, t, x) for c, rows in turns.items() for t, x in rows][::-1], "conv_id long, turn long, text string").repartition(3)
+    got = {}
+    for r in sorted(chat_format.lines_of(df).collect(), key=lambda r: r.k):
+        assert r.k == len(got.setdefault(r.conv_id, []))
+        got[r.conv_id].append(r.text)
+    assert got == {c: [line for x in dict.fromkeys(x for _, x in rows) for line in x.split("\n")] for c, rows in turns.items()}
+    assert chat_format.lines_of(df.limit(0)).count() == 0
+    said = chat_format.parse_lines(chat_format.lines_of(df.where("conv_id IS NOT NULL")), chat_format.train_lines(chat_format.as_transcript(spark.createDataFrame(
+        [(i, t, ("user", "assistant")[t % 2], "one line" if i % 2 else "some\nlines") for i in range(30) for t in range(4)], "conv_id long, turn long, role string, text string"))))
+    assert [(r.conv_id, r.turn, r.role_pred) for r in said.orderBy("conv_id", "turn").collect()] == [(c, i, x) for c, rs in ((1, "aua"), (2, "uau")) for i, x in enumerate({"a": "assistant", "u": "user"}[y] for y in rs)]
+
+
+def test_levels_shrink_by_blocks_of_lines(spark, monkeypatch):
+    """Short turns share blocks: a conversation of many turns takes as few levels as one of as many lines."""
+    sizes = []
+    real = chat_format.materialize
+
+    def counting(df, name):
+        out = real(df, name)
+        if name == "viterbi-up":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(chat_format, "materialize", counting)
+    marked = chat_format.as_transcript(spark.createDataFrame([(1, t * 1000 - 7, ("user", "assistant")[t % 2], f"text {t}") for t in range(300)], "conv_id long, turn long, role string, text string"))
+    out = chat_format.parse_lines(chat_format.lines_of(marked), chat_format.train_lines(marked), block=20)
+    lines = chat_format.lines_of(marked).count()
+    want = []
+    while not want or want[-1] > 1:
+        want.append(-(-(want[-1] if want else lines) // 20))
+    assert out.count() == 300 and sizes == want
+
+
+def test_names_that_are_not_listed(spark, sf, monkeypatch):
+    """Speakers with names of their own: turns and roles come from the moves between states."""
+    turns = read(spark, sf, "conversations")
+    held = chat_format.held_out_flag(chat_format.F.col("conv_id"), 4, 2)
+    model = chat_format.train_lines(chat_format.as_transcript(turns.where(~held)))
+    monkeypatch.setattr(chat_format, "NAMES", {"user": ("Alice", "Maria", "Li"), "assistant": ("Bob", "Jon", "Ada"), "system": ("Carol", "Eve", "Zed")})
+    rows = chat_format.parse_lines(chat_format.lines_of(chat_format.as_transcript(turns.where(held))), model).collect()
+    truth = {(r.conv_id, r.turn): r.role for r in turns.where(held).collect()}
+    right = sum(truth.get((r.conv_id, r.turn)) == r.role_pred for r in rows)
+    assert right / len(truth) > 0.8
+
+
 # ---- urls ------------------------------------------------------------------------------------
 def url_parts(url):
     if url is None or "://" not in url:
