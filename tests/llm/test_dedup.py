@@ -211,6 +211,21 @@ def test_recall_just_over_the_similarity(spark, kind):
     assert sum(n == 1 for n in kept.values()) >= 0.95 * len(pairs)
 
 
+@pytest.mark.parametrize("size, times", [(60, 5), (150, 2), (155, 3), (190, 2), (40, 40)])
+def test_lines_that_repeat_themselves(spark, size, times):
+    """A line and the same written several times in a row: nearly the same shingles at any two lengths."""
+    rng = random.Random(size)
+    pairs = []
+    for _ in range(40):
+        x = "".join(rng.choice(ALPHA) for _ in range(size))
+        pairs.append((x, x * times))
+    docs = docs_of(spark, *[(i, "\n".join(p)) for i, p in enumerate(pairs)])
+    kept = {r.doc_id: r.lines_kept for r in line_dedup.dedup_lines(docs).collect()}
+    cut = lambda x: {x[i : i + 5] for i in range(len(x) - 4)}
+    similar = [i for i, (x, y) in enumerate(pairs) if len(cut(x) & cut(y)) >= 0.8 * len(cut(x) | cut(y))]
+    assert len(similar) == 40 and sum(kept[i] == 1 for i in similar) >= 0.95 * 40
+
+
 def test_document_of_many_equal_lines_and_repetitive_lines(spark):
     many = "\n".join(["the same line"] * 300_000)
     rows = [(1, many), (2, "ab" * 400), (3, "ab" * 700), (4, "-" * 999), (5, "-" * 500)]
@@ -254,10 +269,9 @@ def test_bytes_apart_and_rivals_in_a_single_bucket(spark):
         assert r.n == sum(x != y for x, y in zip(r.a.to_bytes(8, "big", signed=True), r.b.to_bytes(8, "big", signed=True)))
     base = [rng.getrandbits(31) for _ in range(30)]
     sigs = {1: base, 2: base[:16] + [x ^ 1 for x in base[16:]], 3: base[:15] + [x ^ 1 for x in base[15:]], 4: base}
-    schema = "h1 long, kind int, n long, sig array<int>"
-    signed = spark.createDataFrame([(h, 0, 1, sig) for h, sig in sigs.items()], schema)
+    signed = spark.createDataFrame([(h, 1, sig) for h, sig in sigs.items()], "h1 long, n long, sig array<int>")
     # one shared bucket is enough: 1 meets 2 in bucket 10 only; 3 agrees too rarely, 4 is of the same component
-    placed = spark.createDataFrame([(10, 1, 0, 1), (10, 2, 0, 2), (11, 1, 0, 1), (11, 3, 0, 3), (12, 1, 0, 1), (12, 4, 0, 1)], "bucket long, h1 long, side int, component long")
+    placed = spark.createDataFrame([(10, 1, 1), (10, 2, 2), (11, 1, 1), (11, 3, 3), (12, 1, 1), (12, 4, 1)], "bucket long, h1 long, component long")
     met = {(r.bucket, r.h1) for r in line_dedup.with_rivals(placed, signed).collect()}
     assert met == {(10, 1), (10, 2)}
 
