@@ -210,12 +210,11 @@ def across(pairs: DataFrame, parts: DataFrame) -> DataFrame:
 
 def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
     """``c`` and ``part`` (the smallest set that is reached) after further ``links`` (``a``, ``b``) join components of ``parts``."""
-    edges = materialize(across(links, parts).select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct(), "join-edges")
-    if edges.isEmpty():
+    if links.isEmpty():
         return parts
-    tops = connected_components(edges).toDF("part", "top")
+    tops = connected_components(across(links, parts).select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))).toDF("part", "top")
     out = materialize(parts.join(tops, "part", "left").select("c", F.coalesce("top", "part").alias("part")), "join-parts")
-    release(edges, links)
+    release(links)
     return out
 
 
@@ -228,10 +227,12 @@ def long_links(heavy: DataFrame, sets: DataFrame, parts: DataFrame, percent: int
 
     ``heavy``: ``h``, ``c``, ``n``, ``long`` and ``parity`` for each such list and set. In a round
     each list names one member, first the one with the largest part of long lists, later any, and
-    the members of other components are compared with it. The last round compares all members of
-    different components in the lists that still have some, by sizes and sketches inside the join.
+    the members of other components are compared with it. The last round, after ``ROUNDS`` of them
+    or one that links less than a tenth of what it compares, compares all members of different
+    components in the lists that still have some, by sizes and sketches inside the join.
     """
-    for k in range(ROUNDS + 1):
+    k, last = 0, False
+    while not last:
         now = heavy.join(parts, "c")
         central = F.struct(F.col("long") / F.col("n") if k == 0 else F.lit(0.0), F.xxhash64("c", F.lit(k)))
         hub = F.max_by(F.struct("c", "part", "n"), central).alias("hub")
@@ -239,7 +240,8 @@ def long_links(heavy: DataFrame, sets: DataFrame, parts: DataFrame, percent: int
         mixed = materialize(mixed.where("least <> most").select("h", "hub"), "join-mixed")
         if mixed.isEmpty():
             break
-        if k < ROUNDS:
+        last = last or k >= ROUNDS
+        if not last:
             met = now.join(mixed, "h").where((F.col("part") != F.col("hub.part")) & alike("n", "hub.n", percent))
             pairs = met.select(F.col("c").alias("a"), F.col("hub.c").alias("b"))
         else:
@@ -248,8 +250,12 @@ def long_links(heavy: DataFrame, sets: DataFrame, parts: DataFrame, percent: int
             near = far * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
             pairs = x.join(y, "h").where((F.col("cx") > F.col("cy")) & (F.col("partx") != F.col("party")) & alike("nx", "ny", percent) & near)
             pairs = pairs.select(F.col("cx").alias("a"), F.col("cy").alias("b"))
-        parts = joined(parts, verified(pairs.distinct(), sets, percent))
-        release(mixed)
+        pairs = materialize(pairs.distinct(), "join-pairs")
+        links = verified(pairs, sets, percent)
+        fruitless = not last and 10 * links.count() < pairs.count()
+        parts = joined(parts, links)
+        release(mixed, pairs)
+        k = ROUNDS if fruitless else k + 1
     return parts
 
 
