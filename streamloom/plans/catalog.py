@@ -168,10 +168,10 @@ def typed_cast_default(spark, sf):
     return events(spark, sf).select("event_id", cast_field(F.col("event_type"), "NUMBER", 9).alias("n"), cast_field(F.col("event_type"), "TIME_STR").alias("at"))
 
 
-@query("select cast(42 as bigint) as x, count(*) as n from (select unnest(range(3))) group by 1")
+@query("select o_custkey as x, count(*) as n from orders group by 1")
 def typed_parse_once(spark, sf):
-    one = spark.range(3).select(F.lit('["42"]').alias("value"))
-    return extract.extract(one, spec_of(("x", "NUMBER", "0"), content="array")).groupBy("x").agg(F.count("*").alias("n"))
+    texts = t(spark, sf, "orders").select(F.to_json(F.array(F.col("o_custkey").cast("string"))).alias("value"))
+    return extract.extract(texts, spec_of(("x", "NUMBER", "0"), content="array")).groupBy("x").agg(F.count("*").alias("n"))
 
 
 # ---- records ---------------------------------------------------------------------------------
@@ -690,10 +690,15 @@ def stream_counters(spark, sf):
 
 
 # ---- control plane ---------------------------------------------------------------------------
-@query()
+@query(
+    """with h as (select r_name as host, row_number() over (order by r_name) - 1 as i, count(*) over () as n from region),
+m as (select n_nationkey, row_number() over (order by n_nationkey) - 1 as nth from nation where n_nationkey % 4 > 0)
+select host, n_nationkey::varchar as task from m join h on nth % n = i union all select host, n_nationkey::varchar from h, nation where n_nationkey % 4 = 0"""
+)
 def task_assign(spark, sf):
-    tasks = [(str(i), 22 if i % 5 == 0 else 14) for i in range(20)]
-    found = assign(tasks, ["a", "b", "c"], {"a": ["1", "2"], "gone": ["3"]})
+    """Streams named by nations on hosts named by regions: waiting ones on every host, the others in turn."""
+    tasks = [(str(r.n_nationkey), 22 if r.n_nationkey % 4 == 0 else 14) for r in t(spark, sf, "nation").orderBy("n_nationkey").collect()]
+    found = assign(tasks, [r.r_name for r in t(spark, sf, "region").collect()])
     return spark.createDataFrame([(h, x) for h, xs in found.items() for x in xs], "host string, task string")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -247,10 +248,11 @@ def unique_ids(spark, sf):
 
 @query(
     """select n, (select min(k) from range(n::bigint, n::bigint + 200) as t(k) where k >= 2
-and not exists (select 1 from range(2, 2000) as d(x) where x * x <= k and k % x = 0)) as prime from (values (1), (10), (100), (3777777)) as v(n)"""
+and not exists (select 1 from range(2, 2000) as d(x) where x * x <= k and k % x = 0)) as prime from (select distinct p_size * 977 as n from part)"""
 )
 def prime_buckets(spark, sf):
-    return spark.createDataFrame([(n, B.prime_at_least(n)) for n in (1, 10, 100, 3777777)], "n int, prime long")
+    prime = F.pandas_udf(lambda sizes: sizes.map(B.prime_at_least), "long")
+    return t(spark, sf, "part").select((F.col("p_size") * 977).alias("n")).distinct().withColumn("prime", prime("n"))
 
 
 # ---- collections and configuration -----------------------------------------------------------
@@ -276,43 +278,62 @@ def field_positions(spark, sf):
     return rows.select("event_id", "type", "k", F.lit(spec.positions["k"]).alias("pos"))
 
 
-@query("select * from (values ('a', '1'), ('sep', '|'), ('line', chr(10))) as v(k, v)")
+@query("select n_nationkey::varchar as k, n_name as v from nation union all select 'line', chr(10)")
 def store_config(spark, sf):
-    found = parse_config("# remark\na=1\nsep = |\nbad\nline=\\n")
+    """A store's configuration with a line for each nation, a remark and a broken line."""
+    lines = t(spark, sf, "nation").select(F.concat_ws(" = ", "n_nationkey", "n_name").alias("v")).collect()
+    found = parse_config("\n".join(["# remark", *(r.v for r in lines), "bad", "line=\\n"]))
     return spark.createDataFrame(sorted(found.items()), "k string, v string")
 
 
-@query("select * from (values ('filter', false), ('field', true), ('key', true), ('url', true)) as v(change, restart)")
+@query("select r_name as stream, r_regionkey in (1, 2, 3) as restart from region")
 def reload_decisions(spark, sf):
-    base = StreamSpec(1, "a", (FieldSpec("x"),), stores=(StoreSpec(1, filter_rule="expr: x == 1"),))
-    other = {
-        "filter": StreamSpec(1, "a", (FieldSpec("x"),), stores=(StoreSpec(1, filter_rule="expr: x == 2"),)),
-        "field": StreamSpec(1, "a", (FieldSpec("x", "NUMBER"),), stores=base.stores),
-        "key": StreamSpec(1, "a", (FieldSpec("x"),), stores=(StoreSpec(1, distinct=DistinctRule(("x",), "d", 1)),)),
-        "url": StreamSpec(1, "a", (FieldSpec("x"),), url="u", stores=base.stores),
-    }
-    return spark.createDataFrame([(k, needs_restart(base, v)) for k, v in other.items()], "change string, restart boolean")
+    """One changed definition for each region: its filter, a field, its duplicates, its url, nothing."""
+    changes = [
+        {"stores": (StoreSpec(1, filter_rule="expr: x == 2"),)}, {"fields": (FieldSpec("x", "NUMBER"),)},
+        {"stores": (StoreSpec(1, distinct=DistinctRule(("x",), "d", 1)),)}, {"url": "u"}, {},
+    ]
+    out = []
+    for r in t(spark, sf, "region").collect():
+        base = StreamSpec(r.r_regionkey, r.r_name, (FieldSpec("x"),), stores=(StoreSpec(1, filter_rule="expr: x == 1"),))
+        out.append((r.r_name, needs_restart(base, replace(base, **changes[r.r_regionkey]))))
+    return spark.createDataFrame(out, "stream string, restart boolean")
 
 
 # ---- files -----------------------------------------------------------------------------------
-@query("select * from (values ('/l/a_20240131.log', true), ('/l/a_2024013.log', false), ('/l/b_20240131.log', false), ('/l/x/a_20240131.log', false)) as v(path, hit)")
+@query(
+    """select o_orderkey, o_orderkey % 4 = 0 as hit from orders"""
+)
 def path_macros(spark, sf):
+    """Paths with a day in them; others lack a digit, have another name or lie in a folder below."""
     rule = f"^{files.path_regex('/l/a_${yyyy}${mm}${dd}.l*')}$"
-    paths = ["/l/a_20240131.log", "/l/a_2024013.log", "/l/b_20240131.log", "/l/x/a_20240131.log"]
-    return spark.createDataFrame([(p,) for p in paths], "path string").withColumn("hit", F.col("path").rlike(rule))
+    o = t(spark, sf, "orders")
+    day, kind = F.date_format("o_orderdate", "yyyyMMdd"), F.col("o_orderkey") % 4
+    name = F.when(kind == 0, F.concat(F.lit("/l/a_"), day)).when(kind == 1, F.concat(F.lit("/l/a_"), F.substring(day, 1, 7)))
+    name = name.when(kind == 2, F.concat(F.lit("/l/b_"), day)).otherwise(F.concat(F.lit("/l/x/a_"), day))
+    return o.select("o_orderkey", F.concat(name, F.lit(".log")).rlike(rule).alias("hit"))
 
 
-@query("select * from (values ('/d/b', 5, 9), ('/d/c', 0, 4)) as v(path, a, z)")
+@query(
+    """select '/' || n_regionkey || '/' || n_name as path, case nth when 3 then 2 else 0 end as a, n_nationkey + 10 as z
+from (select *, row_number() over (partition by n_regionkey order by n_nationkey) as nth from nation) where nth >= 3"""
+)
 def pointer_plan(spark, sf):
-    """What is new: the last file that grew from its offset on, and newer files."""
-    pointer = files.Pointer('{"/d": ["b", 20, 5]}')
-    return spark.createDataFrame(pointer.plan([("/d/c", 30, 4), ("/d/a", 10, 3), ("/d/b", 20, 9)]), "path string, a int, z int")
-
-
-@query("select * from (values ('cache.2', 2::bigint), ('cache.9', 9::bigint), ('cache.10', 10::bigint)) as v(name, seq)")
+    """What is new in a folder for each region: the third file has grown beyond its second byte, and newer ones."""
+    rows = t(spark, sf, "nation").orderBy("n_nationkey").collect()
+    at, place = {}, {}
+    for r in rows:
+        place[r.n_regionkey] = place.get(r.n_regionkey, 0) + 1
+        if place[r.n_regionkey] == 3:
+            at[f"/{r.n_regionkey}"] = [r.n_name, r.n_nationkey, 2]
+    plan = files.Pointer(json.dumps(at)).plan([(f"/{r.n_regionkey}/{r.n_name}", r.n_nationkey, r.n_nationkey + 10) for r in rows])
+    return spark.createDataFrame(plan, "path string, a int, z int")
+
+
+@query("select 'cache.' || o_orderkey as name, o_orderkey as seq from orders where o_orderstatus <> 'P'")
 def spill_order(spark, sf):
-    names = spark.createDataFrame([("cache.10",), ("cache.9",), ("readme",), ("cache.2",)], "name string")
-    return files.numbered_files(names, "name")
+    name = F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("cache."), "o_orderkey")).otherwise("readme")
+    return files.numbered_files(t(spark, sf, "orders").select(name.alias("name")), "name")
 
 
 @query("select strftime(ts, '%Y%m%d') as day, count(*) as n, true as named from events group by 1")
@@ -447,9 +468,11 @@ def soap_replies(spark, sf):
 ORACLE_SQL["xpath_node"] = "select r_regionkey, r_name as name, cast(null as varchar) as broken from region"
 
 
-@query("select * from (values ('a'), ('b'), ('c')) as v(value)")
+@query("select unnest(string_split(string_agg(n_name, ''), '')) as value from nation")
 def callable_messages(spark, sf):
-    return registry.callable_source(spark, "builtins:sorted", "cab")
+    """A callable's messages, here the letters of its argument."""
+    names = t(spark, sf, "nation").agg(F.array_join(F.collect_list("n_name"), "").alias("v")).first().v
+    return registry.callable_source(spark, "builtins:sorted", names)
 
 
 @query("select event_type as topic, count(*) as n from events group by 1")
@@ -510,13 +533,23 @@ def stream_retention(spark, sf):
     return found.select("user_id", "event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"))
 
 
-@query("select * from (values ('a', 'start', 'keep', 'stop'), ('b', 'start', 'restart', 'stop')) as v(name, first, second, third)")
+@query("select r_name as name, 'start' as first, case r_regionkey % 2 when 0 then 'keep' else 'restart' end as second, 'stop' as third from region")
 def hot_reload(spark, sf):
-    one = {n: StreamSpec(1, n, (FieldSpec("x"),)) for n in "ab"}
-    two = one | {"b": StreamSpec(1, "b", (FieldSpec("x", "NUMBER"),))}
-    worker = twins.Running(lambda spec: [])
+    """Streams named by regions: started, of every second one a field changed, all taken away."""
+    path = twins.shared_folder(spark)
+    regions = t(spark, sf, "region").collect()
+    one = {r.r_name: StreamSpec(r.r_regionkey, r.r_name, (FieldSpec("x"),), stores=(StoreSpec(1),)) for r in regions}
+    two = {r.r_name: replace(one[r.r_name], fields=(FieldSpec("x", "NUMBER" if r.r_regionkey % 2 else "VARCHAR"),)) for r in regions}
+
+    def start(spec: StreamSpec) -> list:
+        def write(store, rows, number):
+            rows.write.mode("overwrite").parquet(f"{path}/rows/{spec.msg_id}-{number}")
+
+        return twins.start_stores(_stream(spark, sf).select("event_id"), replace(spec, name=f"{spec.name}{path[-6:]}"), write, f"{path}/state/{spec.msg_id}", "0 seconds")
+
+    worker = twins.Running(start)
     steps = [worker.apply(s) for s in (one, two, {})]
-    return spark.createDataFrame([(n, *[s[n] for s in steps]) for n in "ab"], "name string, first string, second string, third string")
+    return spark.createDataFrame([(n, *[s[n] for s in steps]) for n in one], "name string, first string, second string, third string")
 
 
 @query(
