@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import HOST, LOG_ID, FieldSpec, StoreSpec, StreamSpec
-from ..sources.files import delete, list_dir, move
+from ..sources.files import create_new, delete, list_dir, move
 from ..types import TIME, cast_field, field_type
 from .dedup import first_arrivals
 from .expr import compile_rule, drop_rows
@@ -138,7 +138,9 @@ def write_named(df: DataFrame, path: str, prefix: str, host: str, suffix: str =
     text) or today. ``df`` has one text column ``value`` beside it.
 
     Spark writes into a folder whose name ends with ``~``; files are then moved to their names, one
-    by one, with numbers that go on from those that are there. Rows a file come from the mean size.
+    by one, with numbers that go on from those that are there. A number is taken by a hidden file
+    that only one writer can make, so writers of one host and day may run at the same time; they
+    get different numbers. Rows a file come from the mean size.
     """
     spark, codec = df.sparkSession, CODECS[codec.lower()]
     sized = df.agg(F.avg(F.octet_length("value") + 1)).first()[0]
@@ -153,10 +155,13 @@ def write_named(df: DataFrame, path: str, prefix: str, host: str, suffix: str =
     for folder, _ in list_dir(spark, stage):
         if not folder.startswith("_day="):
             continue
+        named = f"{prefix}_{host}_{folder[5:]}"
         number = next_sequence(there, prefix, host, folder[5:])
         for name, _ in sorted(list_dir(spark, f"{stage}/{folder}")):
             if name.startswith("part-"):
-                made.append(f"{prefix}_{host}_{folder[5:]}.{number}.{suffix}{SUFFIXES[codec]}")
+                while not create_new(spark, f"{path}/.{named}.{number}"):
+                    number += 1
+                made.append(f"{named}.{number}.{suffix}{SUFFIXES[codec]}")
                 move(spark, f"{stage}/{folder}/{name}", f"{path}/{made[-1]}")
                 number += 1
     delete(spark, stage)

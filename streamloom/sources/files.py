@@ -73,6 +73,12 @@ def make_dir(spark: SparkSession, path: str) -> bool:
     return fs.mkdirs(jpath)
 
 
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Makes an empty file in one step; false if somebody else has it."""
+    jpath, fs = _hadoop(spark, path)
+    return fs.createNewFile(jpath)
+
+
 def move(spark: SparkSession, path: str, to: str) -> bool:
     """Renames a file or folder; an existing target is an error."""
     jpath, fs = _hadoop(spark, path)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from streamloom.operators import aggregates, metrics, ranges, records
+from streamloom.operators import aggregates, metrics, ranges, records, sinks
 from streamloom.operators.stored import SeenSet, StoredSums
 from streamloom.sources import archives, files, polls, registry, shared, tail
 from streamloom.spec import DistinctRule
@@ -219,6 +219,22 @@ def test_seen_set_stays_where_it_lies(spark, folder):
     assert seen.drop(lambda g, b: g < 2) == 2 and {g for g, _ in seen.partitions()} == {2}
 
 
+def test_writers_at_the_same_time_take_different_numbers(spark, folder):
+    from concurrent.futures import ThreadPoolExecutor
+
+    files.make_dir(spark, folder)
+    files.create_new(spark, f"{folder}/.p_h_20240101.1")  # somebody else is at this one
+
+    def write(k):
+        df = spark.createDataFrame([(f"{k}-{i}", "20240101") for i in range(30)], "value string, day string").coalesce(1)
+        return sinks.write_named(df, folder, "p", "h", "dat", "day", max_bytes=60)
+
+    with ThreadPoolExecutor(3) as pool:
+        names = [n for made in pool.map(write, range(3)) for n in made]
+    assert len(names) == len(set(names)) > 3 and "p_h_20240101.1.dat" not in names
+    assert sorted(r.value for r in spark.read.text(f"{folder}/p_h_*").collect()) == sorted(f"{k}-{i}" for k in range(3) for i in range(30))
+
+
 # ---- ledgers ---------------------------------------------------------------------------------
 def test_numbers_go_on(spark, folder):
     rng = random.Random(2)
