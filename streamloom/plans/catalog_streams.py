@@ -13,7 +13,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import aggregates, records
+from ..operators import aggregates, records, topology
 from ..operators.send import send
 from ..operators.stored import SeenSet, StoredSums
 from ..sources import archives, polls, receiver, registry, shared
@@ -285,6 +285,33 @@ def fates(spark, sf):
     return spark.read.parquet(f"{path}/rows/*").select("event_id", "fate")
 
 
+@query("select event_id, event_type || case event_type when 'signup' then '-1' else '-0' end as label from events")
+def dimension_stream(spark, sf):
+    """Three batches and a dimension that changes after the first: the second still sees the old one, the third holds the event that loads it anew."""
+    path = twins.shared_folder(spark)
+    signup = F.col("event_type") == "signup"
+    rows = events(spark, sf).select("event_id", "event_type", F.when(signup, 2).otherwise(F.col("event_id") % 2).alias("b"))
+    as_batches(rows, f"{path}/in", "b", 3)
+    versions = []
+
+    def publish() -> None:
+        label = F.concat_ws("-", "event_type", F.lit(len(versions)))
+        rows.select("event_type", label.alias("label")).distinct().write.parquet(f"{path}/dim/{len(versions)}")
+        versions.append(f"{path}/dim/{len(versions)}")
+
+    def write(out: DataFrame, number: int) -> None:
+        out.write.mode("overwrite").parquet(f"{path}/rows/{number}")
+        if number == 0:
+            publish()
+
+    publish()
+    dim = topology.Dimension(lambda: spark.read.parquet(versions[-1]))
+    rule = topology.Lookup("types", (("event_type", "event_type"),), ("label",))
+    writer = twins.look_up_stream(one_by_one(spark, f"{path}/in", rows), dim, rule, write, "event_type == 'signup'")
+    twins.run_to_end(writer.option("checkpointLocation", f"{path}/state"))
+    return spark.read.parquet(f"{path}/rows/*").select("event_id", "label")
+
+
 @query("select event_id % 4 as part, (event_id % 4) >= 2 as there from events group by 1")
 def passed_files(spark, sf):
     """Of four files one store has read all and a slower one two: those two go."""

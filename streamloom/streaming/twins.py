@@ -9,8 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.expr import drop_rows
+from ..operators.expr import compile_rule, drop_rows, truthy
 from ..operators.sinks import HOOKS
+from ..operators.topology import Dimension, Lookup, look_up
 from ..sources.files import shared_folder
 from ..spec import DistinctRule, StoreSpec, StreamSpec, needs_restart
 
@@ -78,6 +79,22 @@ def change_only_stream(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, `{value}` string", "last string", "append", "NoTimeout")
 
 
+def look_up_stream(df: DataFrame, dim: Dimension, rule: Lookup, write: Callable[[DataFrame, int], None], event: str | None = None):
+    """A writer of a stream with a dimension that is looked up in each batch.
+
+    The dimension is loaded when its cycle is over, when the stream starts, and before a batch that has
+    a row for which the rule ``event`` holds. ``write`` gets the rows and the batch number. ``dim``
+    should load a snapshot that stays as it is while a batch runs.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        if event and not rows.where(truthy(*compile_rule(event, rows.schema))).isEmpty():
+            dim.refresh()
+        write(look_up(rows, dim.table(), rule), number)
+
+    return df.writeStream.foreachBatch(batch)
+
+
 def trigger_of(interval: str | None) -> dict:
     """``processingTime`` with an interval (the poll period), else all there is, once."""
     return {"processingTime": interval} if interval else {"availableNow": True}
