@@ -30,12 +30,16 @@ from .common import source_columns, table
 WIDE, TIERS, LANES = 16, 12, 32
 #: Tiers that are always written; of the others those up to the last one that holds a paragraph.
 WRITTEN = 4
+#: Where text without spaces is cut: every eighth character of the first planes, so that the place follows from the text alone.
+_EIGHTH = "".join(map(re.escape, map(chr, [*range(0x20, 0xD800, 8), *range(0xE000, 0x30000, 8)])))
 _PIECE = re.compile(r".{24,72}?(?:[。！？、，]|(?<=[.!?,;:|])(?= ))|.{48,}?(?= )|.+")
+_LONG, _CUT = 96, re.compile(rf".{{24,96}}?[{_EIGHTH}]|.{{1,96}}")
 
 
 def paragraphs(text: str | None) -> list[str]:
-    """Lines, cut after a mark from 24 characters on and at a space from 48 on."""
-    return _PIECE.findall(text) if text else []
+    """Lines, cut after a mark from 24 characters on and at a space from 48 on; what is longer than 96 then is cut where the text gives a place."""
+    pieces = _PIECE.findall(text) if text else []
+    return pieces if max(map(len, pieces), default=0) <= _LONG else [x for p in pieces for x in ([p] if len(p) <= _LONG else _CUT.findall(p))]
 
 
 def _vectors(parts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:

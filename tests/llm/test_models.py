@@ -244,6 +244,22 @@ def test_fingerprint_query(spark, sf):
     assert sum(x > 0.15 for x in near_edited) / len(near_edited) > 0.95
 
 
+@pytest.mark.parametrize("letters", ["".join(chr(0x4E00 + i) for i in range(2500)), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"])
+def test_likeness_of_texts_without_spaces(letters):
+    """Two thirds of the text stay, first at its place, then behind a new beginning: the true values are near 0.5."""
+    rng = random.Random(6)
+    own = lambda n: "".join(rng.choices(letters, k=n))
+    of, near = multiset_hash.Fingerprint.of, multiset_hash.likeness
+    found = []
+    for _ in range(20):
+        text = own(20_000)
+        for edited in (text[:-6667] + own(6667), own(6667) + text[6667:], own(101) + text[:-6667] + own(6566)):
+            found.append(near(of(text), of(edited)))
+        assert near(of(text), of(own(20_000))) < 0.2
+    assert min(found) > 0.1 and 0.4 < sum(found) / len(found) < 0.6
+    assert max(map(len, multiset_hash.paragraphs(text))) <= 97
+
+
 def test_likeness_of_texts_of_many_megabytes():
     rng = random.Random(9)
     line = lambda: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(7))
