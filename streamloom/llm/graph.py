@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import materialize, release, tidy
 
 
+#: Up to so many edges a round's tables go to FILES tasks and files; that many small rows are no work for more.
+FEW, FILES = 1_000_000, 8
+
+
 def _stars(edges: DataFrame) -> bool:
     """Whether every larger end has one edge and is no smaller end: then all components are found."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("hi").alias("v"), F.lit(1).alias("n")), F.struct(F.col("lo").alias("v"), F.lit(0).alias("n")))).alias("e"))
@@ -29,6 +33,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         .distinct(),
         "edges",
     )
+    few = now.count() <= FEW  # no round makes more edges than twice these
+    dealt = lambda df: df.coalesce(FILES) if few else df
     for _ in range(max_rounds):
         if _stars(now):
             break
@@ -36,10 +42,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             now.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
         # minima combine before the shuffle and are written, so that a join on a hub can be split
-        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = materialize(dealt(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))), "least")
         large = both.join(least, "u").where("v > u AND v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
-        large = materialize(large.distinct(), "large")
-        low = materialize(large.groupBy("hi").agg(F.min("lo").alias("m")), "low")
+        large = materialize(dealt(large.distinct()), "large")
+        low = materialize(dealt(large.groupBy("hi").agg(F.min("lo").alias("m"))), "low")
         small = large.join(low, "hi").select(
             F.explode(
                 F.array(
@@ -48,7 +54,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                 )
             ).alias("e")
         )
-        step = materialize(small.select("e.hi", "e.lo").where("hi <> lo").distinct(), "edges")
+        step = materialize(dealt(small.select("e.hi", "e.lo").where("hi <> lo").distinct()), "edges")
         release(least, large, low)
         release(now)
         now = step
