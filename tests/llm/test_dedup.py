@@ -226,6 +226,22 @@ def test_lines_that_repeat_themselves(spark, size, times):
     assert len(similar) == 40 and sum(kept[i] == 1 for i in similar) >= 0.95 * 40
 
 
+def test_signatures_are_minima_of_all_shingles(spark):
+    """Rows of several shingles give the plain minima at every length, and no row of a shingle carries a decimal."""
+    rng = random.Random(6)
+    lines = [x for n in (1, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 40, 41, 42, 43) for x in ("".join(rng.choice("abcé漢𝄞") for _ in range(n)),)]
+    table = line_dedup.line_table(docs_of(spark, (9, "\n".join(lines)), (None, lines[5]), (3, f"{lines[7]}\n{lines[7]}")))
+    assert not any(t.startswith("decimal") for _, t in table.dtypes)
+    got = {r.h1: r for r in table.collect()}
+    pieces = [(x, x[i : i + 5].encode("utf-32-be")) for x in lines for i in range(max(1, len(x) - 4))]
+    want = defaultdict(set)
+    for r in spark.createDataFrame(pieces, "line string, piece binary").select(F.xxhash64("line").alias("h1"), F.hash("piece").alias("x")).collect():
+        want[r.h1].add(r.x)
+    assert {h: r.sig for h, r in got.items()} == {h: [min(x ^ m for x in xs) for m in line_dedup.masks()] for h, xs in want.items()}
+    h = [r[0] for r in spark.createDataFrame([(x,) for x in lines], "x string").select(F.xxhash64("x")).collect()]
+    assert [(got[h[k]].doc, got[h[k]].n) for k in (0, 5, 7)] == [(9, 1), (-(2**63), 2), (3, 3)]
+
+
 def test_document_of_many_equal_lines_and_repetitive_lines(spark):
     many = "\n".join(["the same line"] * 300_000)
     rows = [(1, many), (2, "ab" * 400), (3, "ab" * 700), (4, "-" * 999), (5, "-" * 500)]
