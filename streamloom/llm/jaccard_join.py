@@ -23,7 +23,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -222,10 +222,22 @@ def alike(n: str, m: str, percent: int) -> Column:
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def long_prefix(postings: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``h``, ``c``, ``n`` and ``long``: of each set's long lists all but the e - 1 longest, by one order of all lists.
+
+    Sets that share no short list are similar only if they share e long ones, e by the least size that a partner
+    can have, so one of those they share is among the first long - e + 1 of both.
+    """
+    first = F.col("long") - F.floor((F.col("n") * percent + 99) / 1000)
+    rows = postings.where((F.col("size") > SHORT) & (first > 0))
+    nth = F.row_number().over(Window.partitionBy("c").orderBy("size", "h"))
+    return rows.withColumn("nth", nth).where(F.col("nth") <= first).select("h", "c", "n", "long")
+
+
 def long_links(heavy: DataFrame, sets: DataFrame, parts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``parts`` joined by the links of sets that may share only lists of more than ``SHORT`` sets.
 
-    ``heavy``: ``h``, ``c``, ``n``, ``long`` and ``parity`` for each such list and set. In a round
+    ``heavy``: ``h``, ``c``, ``n``, ``long`` and ``parity`` for each such list and set (``long_prefix``). In a round
     each list names one member, first the one with the largest part of long lists, later any, and
     the members of other components are compared with it. The last round, after ``ROUNDS`` of them
     or one that links less than a tenth of what it compares, compares all members of different
@@ -272,9 +284,7 @@ def linked(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     best = pairs.groupBy("a").agg(F.max_by("b", "seen").alias("b"))
     parts = joined(sets.select("c", F.col("c").alias("part")), verified(best, sets, percent))
     parts = joined(parts, verified(across(pairs, parts), sets, percent))
-    # similar sets may share long lists alone only if both have e of them, e by the least size a partner can have
-    heavy = postings.where((F.col("size") > SHORT) & (F.col("long") >= 1 + F.floor((F.col("n") * percent + 99) / 1000)))
-    heavy = materialize(heavy.select("h", "c", "n", "long").join(sets.select("c", "parity"), "c"), "join-heavy")
+    heavy = materialize(long_prefix(postings, percent).join(sets.select("c", "parity"), "c"), "join-heavy")
     release(each, postings, pairs)
     return long_links(heavy, sets, parts, percent)
 

@@ -209,6 +209,21 @@ def test_join_is_brute_force(spark, monkeypatch, short, rounds):
     assert as_rows(got) == reached(docs)
 
 
+def test_prefix_of_long_lists_loses_no_pair(spark):
+    """Sets that share e long lists still share one of those that are kept, and few others do."""
+    rng = random.Random(3)
+    members = {bytes([c]): (n, rng.sample(range(120), rng.randint(1, 60))) for c in range(60) for n in (rng.randint(20, 300),)}
+    size = {h: jaccard_join.SHORT + 1 + rng.randrange(40) for h in range(120)}
+    rows = [(h, c, n, size[h], len(hs)) for c, (n, hs) in members.items() for h in hs]
+    kept = {c: set() for c in members}
+    for r in jaccard_join.long_prefix(spark.createDataFrame(rows, "h long, c binary, n long, size long, long long")).collect():
+        kept[bytes(r.c)].add(r.h)
+    pairs = [(a, b) for a in members for b in members if a < b and 100 * min(members[a][0], members[b][0]) >= 80 * max(members[a][0], members[b][0])]
+    enough = {(a, b) for a, b in pairs if len({*members[a][1]} & {*members[b][1]}) >= jaccard_join.extra(min(members[a][0], members[b][0]))}
+    assert enough and all(kept[a] & kept[b] for a, b in enough)
+    assert sum(map(len, kept.values())) < 0.9 * len(rows)
+
+
 def test_join_at_the_border(spark):
     """Sets of 100 and 80, 79 and 81 shingles, all of the smaller one's in the larger."""
     words = [f"v{i}" for i in range(104)]
