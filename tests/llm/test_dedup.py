@@ -242,6 +242,36 @@ def test_signatures_are_minima_of_all_shingles(spark):
     assert [(got[h[k]].doc, got[h[k]].n) for k in (0, 5, 7)] == [(9, 1), (-(2**63), 2), (3, 3)]
 
 
+def test_minima_of_pairs_without_a_branch(spark):
+    """Each pair's lesser hash is the same as by comparison, with equal hashes, either sign and neighbours."""
+    rng = random.Random(21)
+    some = [0, -1, 1, 2**31 - 1, -(2**31), 1 - 2**31, *[rng.getrandbits(32) - 2**31 for _ in range(14)]]
+    n = line_dedup.STEP
+    rows = [(a, b, *[rng.choice(some) for _ in range(n - 2)]) for a in some for b in some]
+    cut = spark.createDataFrame(rows, ", ".join(f"x{k} int" for k in range(n))).select("*", F.array(*[f"x{k}" for k in range(n)]).alias("given"))
+    least = F.array(*[F.array(*[line_dedup.pair_min(k, m) for k in range(n // 2)]) for m in line_dedup.masks()])
+    for given, got in line_dedup.paired(cut).select("given", least).collect():
+        assert got == [[min(a ^ m, b ^ m) for a, b in zip(given[::2], given[1::2])] for m in line_dedup.masks()]
+
+
+def test_hubs_do_not_depend_on_the_order_of_rows(spark):
+    """Of equally common lines the hub is the one of the greatest hash, whatever row comes first."""
+    rng = random.Random(22)
+    rows = [(h, 1 + (h % 3 == 0), [g] * 30) for g in range(60) for h in range(100 * g, 100 * g + 7)]
+    rng.shuffle(rows)
+    got = line_dedup.in_buckets(spark.createDataFrame(rows, "h1 long, n long, sig array<int>")).collect()
+    assert len(got) == 12 * len(rows) and all(r.size == 7 for r in got)
+    want = {g: max((n, h) for h, n, sig in rows if sig[0] == g)[1] for g in range(60)}
+    assert {(r.h1 // 100, r.hub) for r in got} == set(want.items())
+
+
+def test_texts_of_wanted_lines_once(spark):
+    """A line's text is taken once from whichever document has it, null ids included."""
+    docs = docs_of(spark, (None, "first line\nSecond line"), (4, "second LINE \nthird line"), (4, "second line"), (5, None))
+    wanted = line_dedup.exploded(docs).where("norm = 'second line'").select("h1").distinct()
+    assert [r.norm for r in line_dedup.line_texts(docs, wanted).select("norm").collect()] == ["second line"]
+
+
 def test_document_of_many_equal_lines_and_repetitive_lines(spark):
     many = "\n".join(["the same line"] * 300_000)
     rows = [(1, many), (2, "ab" * 400), (3, "ab" * 700), (4, "-" * 999), (5, "-" * 500)]
